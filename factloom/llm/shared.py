@@ -79,6 +79,25 @@ def worker_cache(key: str, make):
     return kept[key]
 
 
+def shipped(spark: SparkSession, model):
+    """A function that gives ``model`` on an executor; its attributes are broadcast, its class travels with the function.
+
+    Only for models whose size has a bound. Attributes are arrays, numbers, texts and lists of them, or such models.
+    """
+    kind = type(model)
+    plain = {k: v for k, v in vars(model).items() if not type(v).__module__.startswith(__package__)}
+    parts = {k: shipped(spark, v) for k, v in vars(model).items() if k not in plain}
+    sent = spark.sparkContext.broadcast(plain)
+
+    def get():
+        made = kind.__new__(kind)
+        made.__dict__.update(sent.value)
+        made.__dict__.update({k: part() for k, part in parts.items()})
+        return made
+
+    return get
+
+
 # --- byte blocks ---------------------------------------------------------------------------------
 
 
