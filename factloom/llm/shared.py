@@ -52,7 +52,14 @@ class Workspace:
         """Writes ``df`` as Parquet and returns the reader of what was written."""
         self.count += 1
         path = f"{self.root}/{self.count}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        # What was shuffled for the table goes as soon as the table is written.
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(clean, None)
+        self.spark.conf.set(clean, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(clean) if before is None else self.spark.conf.set(clean, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._factloom_path = path
         return back
@@ -188,6 +195,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def run_hashes(h: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``length`` neighbouring hashes."""
+    power, inverse = _powers(len(h) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)))
+    return mix((sums[length:] - sums[:-length]) * inverse[: len(h) - length + 1])
+
+
 def shingle_hashes(word_hash: np.ndarray, docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``width`` words inside a document, and the index of its first word."""
     n = len(word_hash) - width + 1

@@ -41,11 +41,11 @@ _INNER[[ord(c) for c in "'0134579@$!*.-_"]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
-FEATURES = ["fixed", "learned", "fixed_any", "learned_any", "plain_fixed", "near_second", "second", "capitals", "capital_words", "exclamations", "questions", "symbols", "odd_inside", "words", "log_words", "spaced"]
+FEATURES = ["fixed", "learned", "fixed_any", "learned_any", "plain_fixed", "near_second", "second", "capitals", "capital_words", "exclamations", "questions", "symbols", "odd_inside", "words", "log_words", "spaced", "stems", "stems_any"]
 
 
-def hash_words(names: list[str]) -> np.ndarray:
-    raw = [n.encode("utf-8") for n in names]
+def hash_words(names: list) -> np.ndarray:
+    raw = [n if isinstance(n, bytes) else n.encode("utf-8") for n in names]
     ends = np.cumsum([len(r) for r in raw]) if raw else np.zeros(0, np.int64)
     return np.sort(span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw], ends)) if raw else np.zeros(0, np.uint64)
 
@@ -66,7 +66,11 @@ def _trim(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, good: np.ndarr
     return s, np.maximum(prv[ends - 1] + 1, s)
 
 
-def features(block: Block, fixed: np.ndarray, learned: np.ndarray, second: np.ndarray) -> np.ndarray:
+#: Lengths in bytes of the beginnings of words that can be learned.
+STEMS = (5, 6, 7, 8)
+
+
+def features(block: Block, fixed: np.ndarray, learned: np.ndarray, second: np.ndarray, stems: np.ndarray) -> np.ndarray:
     """One row of FEATURES for each text of a block; an empty text has zeros."""
     out = np.zeros((block.n, len(FEATURES)), np.float32)
     starts, ends, of = words(block)
@@ -85,6 +89,11 @@ def features(block: Block, fixed: np.ndarray, learned: np.ndarray, second: np.nd
     solid = np.cumsum(np.concatenate(([0], _LETTER[data])))
     odd_inside = (solid[e] - solid[s]) < (e - s)
     is_plain = _in(h2, fixed) & ~is_fixed
+    is_stem = np.zeros(len(starts), bool)
+    if len(stems):
+        for length in STEMS:
+            long = np.flatnonzero(e - s >= length)
+            is_stem[long[_in(span_hashes(low, s[long], s[long] + length), stems)]] = True
     for mark in b"*.-_":
         keep = plain != mark
         to = np.cumsum(np.concatenate(([0], keep)))
@@ -94,7 +103,7 @@ def features(block: Block, fixed: np.ndarray, learned: np.ndarray, second: np.nd
         is_plain[np.flatnonzero(some)[_in(hs, fixed)]] = True
     n = np.bincount(of, minlength=block.n).astype(np.float64)
     per = lambda m: np.bincount(of, m, minlength=block.n) / np.maximum(n, 1)
-    hit = is_fixed | is_learned | is_plain
+    hit = is_fixed | is_learned | is_plain | is_stem
     # How near a second-person word stands: 1 / (1 + words between), summed over hits.
     at, places = np.flatnonzero(hit), np.flatnonzero(you)
     near = np.zeros(len(starts))
@@ -115,7 +124,7 @@ def features(block: Block, fixed: np.ndarray, learned: np.ndarray, second: np.nd
     single = (e - s) == 1
     spaced = single & np.concatenate((single[1:] & (of[1:] == of[:-1]), [False]))
     count = lambda m: np.bincount(of, m, minlength=block.n)
-    cols = [per(is_fixed), per(is_learned), count(is_fixed), count(is_learned), count(is_plain), count(near), per(you), share(_UPPER[data]), per(shouted), share(data == 33), share(data == 63), share(~letters & (data > 32)), per(odd_inside), n, np.log1p(n), per(spaced)]
+    cols = [per(is_fixed), per(is_learned), count(is_fixed), count(is_learned), count(is_plain), count(near), per(you), share(_UPPER[data]), per(shouted), share(data == 33), share(data == 63), share(~letters & (data > 32)), per(odd_inside), n, np.log1p(n), per(spaced), per(is_stem), count(is_stem)]
     return np.stack(cols, axis=1).astype(np.float32)
 
 
@@ -193,11 +202,12 @@ def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ToxicityModel:
-    def __init__(self, learned: list[str]):
+    def __init__(self, learned: list[str], stems: list[bytes]):
         self.fixed, self.second, self.learned = hash_words(LEXICON), hash_words(SECOND_PERSON), hash_words(learned)
+        self.stems = hash_words(stems)
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        rows = [features(b, self.fixed, self.learned, self.second) for b in blocks(texts)]
+        rows = [features(b, self.fixed, self.learned, self.second, self.stems) for b in blocks(texts)]
         return np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)), np.float32)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> ToxicityModel:
@@ -218,8 +228,8 @@ class ToxicityModel:
 def learn(docs: DataFrame, labels: DataFrame, training: Column, most_rows: int = 8000, most_learned: int = 60) -> ToxicityModel | None:
     """A model from at most ``most_rows`` labelled rows where ``training`` holds, the first by hash of the id.
 
-    The learned lexicon has at most ``most_learned`` words, which stand in at least 1 % of the toxic texts of the sample and
-    are there 30 times as frequent as in the others. None if the sample has not both labels.
+    The learned lexicon has at most ``most_learned`` words and as many beginnings of words, which stand in at least 1 % of
+    the toxic texts of the sample and are there 30 times as frequent as in the others. None if the sample has not both labels.
     """
     given = require(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = require(docs, "doc_id", "text").join(given, "doc_id").where(training)
@@ -227,14 +237,22 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, most_rows: int =
     y = np.array([r["toxic"] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    seen: list[dict[str, int]] = [{}, {}]
+    seen: list[dict] = [{}, {}]
+    begins: list[dict] = [{}, {}]
+    outside = "".join(map(chr, range(33, 65))) + "[]^_`{|}~"
     for r in rows:
-        for w in {w.strip("".join(map(chr, range(33, 65))) + "[]^_`{|}~") for w in r["text"].lower().split()}:
-            seen[r["toxic"]][w] = seen[r["toxic"]].get(w, 0) + 1
+        own = {w.strip(outside) for w in r["text"].lower().split()}
+        raws = [w.encode("utf-8") for w in own]
+        for store, names in ((seen, own), (begins, {w[:k] for w in raws for k in STEMS if len(w) >= k})):
+            for w in names:
+                store[r["toxic"]][w] = store[r["toxic"]].get(w, 0) + 1
     bad, good = y.sum(), len(y) - y.sum()
-    ratio = {w: (n / bad) / ((seen[0].get(w, 0) + 0.5) / good) for w, n in seen[1].items() if w and n >= max(3, 0.01 * bad)}
-    learned = sorted((w for w, v in ratio.items() if v >= 30), key=lambda w: (-seen[1][w], w))[:most_learned]
-    model = ToxicityModel(learned)
+
+    def telling(store: list[dict]) -> list:
+        ratio = {w: (n / bad) / ((store[0].get(w, 0) + 0.5) / good) for w, n in store[1].items() if w and n >= max(3, 0.01 * bad)}
+        return sorted((w for w, v in ratio.items() if v >= 30), key=lambda w: (-store[1][w], w))[:most_learned]
+
+    model = ToxicityModel(telling(seen), telling(begins))
     return model.fit(model.features(pa.array([r["text"] for r in rows], pa.string())), y)
 
 
