@@ -24,11 +24,14 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near-duplicates."""
+    """The document of smallest doc_id of each group of near-duplicates; rows without a doc_id stay."""
     work = Workspace(spark, "distinct")
-    found = simhash.near_duplicates(docs)
-    kept = work.table(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    found = work.table(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id"), "found")
+    rows = docs.join(found.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    n, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n > ids:
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where("doc_id is null"))
 
 
 def cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

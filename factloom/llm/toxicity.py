@@ -198,7 +198,7 @@ def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             blocks_[-1][0] += t2
             blocks_[-1][1] += n2
     mean = float(y.mean())
-    return np.array([b[2] for b in blocks_]), np.array([(b[0] + mean) / (b[1] + 1) for b in blocks_])
+    return np.array([b[2] for b in blocks_]), np.maximum.accumulate([(b[0] + mean) / (b[1] + 1) for b in blocks_])
 
 
 class ToxicityModel:
