@@ -222,7 +222,7 @@ class ToxicityModel:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self.trees.margin(x)
-        return np.clip(np.interp(z, self.steps, self.values), 0, 1)
+        return np.clip(self.values[np.maximum(np.searchsorted(self.steps, z, "right") - 1, 0)], 0, 1)
 
 
 def learn(docs: DataFrame, labels: DataFrame, training: Column, most_rows: int = 6000, most_learned: int = 60) -> ToxicityModel | None:
