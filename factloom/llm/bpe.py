@@ -132,7 +132,7 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Ids of pieces, each encoded once: new ones of a batch together, known ones from a pool by their 64-bit hash."""
 
-    def __init__(self, bpe: BatchBpe, most: int = 800_000):
+    def __init__(self, bpe: BatchBpe, most: int = 250_000):
         self.bpe, self.most = bpe, most
         self._clear()
 

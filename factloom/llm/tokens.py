@@ -16,7 +16,7 @@ from .bpe import BatchBpe, PieceEncoder, code_points, pieces
 class ByteBpe:
     """``ids(texts)``: little-endian unsigned 32-bit ids of each text; a special token's string is that token."""
 
-    def __init__(self, path: str, most_cached: int = 800_000):
+    def __init__(self, path: str, most_cached: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

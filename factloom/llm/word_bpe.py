@@ -24,7 +24,7 @@ from .shared import require, worker_cache
 class WordBpe:
     """Encoder and decoder of a word-end BPE with lower-casing, as its tokenizer file defines it."""
 
-    def __init__(self, path: str, most_cached: int = 800_000):
+    def __init__(self, path: str, most_cached: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
