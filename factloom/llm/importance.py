@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Block, Workspace, blocks, lowered, require, shingle_hashes, span_hashes, words
+from .shared import Block, Workspace, blocks, lean, lowered, require, shingle_hashes, span_hashes, words
 
 
 def hashed(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +65,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, buckets: in
     id_type = dict(docs.dtypes)["doc_id"]
     rows = require(docs, "doc_id", "text")
 
+    @lean
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for b in batches:
@@ -84,6 +85,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, buckets: in
         good[r["bucket"]] += r["good"]
     ratio = np.log(good / good.sum()) - np.log(raw / raw.sum()) if good.sum() > buckets else np.zeros(buckets)
 
+    @lean
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []

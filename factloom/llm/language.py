@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, require, shipped
+from .shared import blocks, lean, require, shipped
 
 
 class ByteNet:
@@ -143,6 +143,7 @@ def predict(docs: DataFrame, training: Column, most_rows: int = 3000, window: in
         net.train(texts, labels, steps)
     model = shipped(spark, net)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model()
         fused = net.fused()

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, require
+from .shared import Workspace, lean, require
 
 
 class _Stock:
@@ -109,6 +109,7 @@ def pack(
     keep = {"ids": F.col("ids")} if keep is None else keep
     ending = np.array([end_id], "<u4").tobytes()
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
@@ -156,6 +157,7 @@ def pack(
         sequence += many
     table = {x: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for x, rows in slots.items()}
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length = b.column(b.schema.get_field_index("length")).to_numpy()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, require
+from .shared import Workspace, lean, require
 
 
 def _usable(v: str) -> Column:
@@ -93,6 +93,7 @@ def nearest(
     def permuted(query: bool):
         first = min(max(least, math.ceil(probe_share * len(chosen))) if query else posts, len(chosen))
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for s in range(0, b.num_rows, 4096):

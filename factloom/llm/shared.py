@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +105,24 @@ def shipped(spark: SparkSession, model):
     return get
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow, giving back what Arrow's pool holds unused after each batch, so that idle workers stay small."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+
+        def each() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b
+                del b
+                pool.release_unused()
+
+        yield from run(each())
+        pool.release_unused()
+
+    return wrapped
+
+
 # --- byte blocks ---------------------------------------------------------------------------------
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Workspace, ascii_lower, require
+from .shared import Workspace, ascii_lower, lean, require
 
 SHINGLE_SEED = 42
 
@@ -48,6 +48,7 @@ def fingerprint(raw: bytes, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``(doc_id, fp long)`` for every document; null and word-free texts have 0."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column(1)
@@ -106,6 +107,7 @@ def near_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
         posts.append(F.struct(F.lit(k).cast("byte").alias("positions"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("bytes")))
     lists = distinct.select("fp", F.explode(F.array(*posts)).alias("k")).groupBy("k.positions", "k.bytes").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = b.column(0)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Block, blocks, lowered, require, shipped, span_hashes, words
+from .shared import Block, blocks, lean, lowered, require, shipped, span_hashes, words
 
 # Words of abuse, in lower case.
 LEXICON = """
@@ -285,6 +285,7 @@ def score(docs: DataFrame, labels: DataFrame, training: Column, most_rows: int =
         return rows.select("doc_id", F.lit(0.0).alias("score"))
     model_here = shipped(docs.sparkSession, model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_here()
         for b in batches:
@@ -301,6 +302,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame, training: Column, threshold:
     model_here = shipped(docs.sparkSession, model)
     place = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_here()
         for b in batches:
