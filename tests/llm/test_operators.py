@@ -3,13 +3,14 @@
 import itertools
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from factloom.llm import importance, language, lm, packing, passages, permutation, quality_rules, simhash, tokens, toxicity, word_bpe
-from factloom.llm.queries import byte_encoder, tokenizer_path
+from factloom.llm.queries import byte_encoder, oracle_sql, tokenizer_path
 from factloom.llm.shared import Workspace
 
 WORDS = [a + b for a in ("th", "er", "on", "qu", "st") for b in ("ea", "in", "ou", "al", "é")]
@@ -157,6 +158,17 @@ def test_rules_are_those_of_plain_python(docs):
     assert docs.where(quality_rules.cascade(named, orders[0]) != quality_rules.cascade(named, orders[1])).count() == 0
 
 
+@pytest.mark.parametrize("tables", ["/root/testdata/sf0.001", None])
+def test_cascade_is_its_sql(spark, docs, tables):
+    """On documents as they come and on odd texts."""
+    rows = spark.read.parquet(f"{tables}/documents.parquet") if tables else docs
+    db = duckdb.connect()
+    db.register("documents", rows.select("doc_id", "text").toArrow())
+    got, want = quality_rules.judge(rows), db.sql(oracle_sql()["op9_cascade"])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, got.select(*want.columns).toArrow().to_pylist())) == sorted(map(str, want.to_arrow_table().to_pylist()))
+
+
 @pytest.mark.parametrize("most_words", [10**6, 0])
 def test_language_model_counts(docs, most_words):
     rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()]
