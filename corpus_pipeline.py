@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import packing, passages, quality_rules, simhash, toxicity
+from factloom.llm import near_copies, packing, passages, quality_rules, toxicity
 from factloom.llm.queries import byte_encoder, tokenizer_path
 from factloom.llm.shared import Workspace
 
@@ -24,14 +24,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near-duplicates; rows without a doc_id stay."""
-    work = Workspace(spark, "distinct")
-    found = work.table(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id"), "found")
-    rows = docs.join(found.distinct(), "doc_id", "left_semi").select(*docs.columns)
-    n, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if n > ids:
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null"))
+    """The document of smallest doc_id of each group of near-copies; rows without a doc_id stay."""
+    return near_copies.distinct_documents(docs, width=5)
 
 
 def cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
