@@ -190,13 +190,13 @@ def counts(work: Workspace, docs: DataFrame, training: Column, depth: int) -> Da
     return work.table(seen.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
-def score(docs: DataFrame, training: Column, depth: int = 3, most_grams: int = 4_000_000, most_words: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, training: Column, depth: int = 3, most_words: int = 8_000_000) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text) by models of the rows where ``training`` holds.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability by the weighted
     context trees) and bits_per_byte (code length, the end included). A null text is the empty text: one token, the end.
-    depth: bytes of context, less if the training texts have more than ``most_grams`` different strings of that length
-    (up to two bytes there is a fixed bound of 2^24). Word counts are sent to the executors up to ``most_words`` different
+    depth: bytes of context, at most 3, the same at every size; the driver and the executors hold all different strings of
+    the training texts. Word counts are sent to the executors up to ``most_words`` different
     words; beyond that documents and counts meet by word in a shuffle. No training row: all counts are zero.
     """
     work = Workspace(docs.sparkSession, "lm")
@@ -209,9 +209,6 @@ def score(docs: DataFrame, training: Column, depth: int = 3, most_grams: int = 4
     # The end is one more token, known as soon as there is a training text.
     total, vocabulary = word_tokens + n_texts, distinct_words + bool(n_texts)
     strings = table.where("kind = 0")
-    while depth > 1 and strings.count() > most_grams:
-        depth -= 1
-        strings = strings.groupBy(F.col("key").bitwiseAND((1 << (8 * (depth + 1))) - 1).alias("key")).agg(F.sum("n").alias("n"))
     found = strings.select("key", "n").toArrow()
     keys = found.column(0).to_numpy().astype(np.uint32)
     trees = ContextTrees(keys, found.column(1).to_numpy(), depth)
