@@ -51,18 +51,23 @@ def _kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
     return high
 
 
-def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, buckets: int = 10_007, length: float = 64.0) -> DataFrame:
-    """``(doc_id, log_ratio, score, key, selected)`` for every row of ``docs`` (doc_id, text).
-
-    target: doc_ids of the texts that the sample should be like. log_ratio: mean over the document's n-grams of log
-    p_target - log p_raw, both with add-one smoothing over all texts concerned; 0 without words. The log weight is that
-    mean times ``length``, so that long texts are not favoured. score: the weight as w / (1 + w). selected: whether the
-    document is among the ceil(share * rows) largest of log weight plus noise; ties by doc_id stay together. Null texts
-    are empty ones; without targets, all weights are equal; an empty table gives an empty result.
+def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, buckets: int = 10_007, length: float = 64.0, most_targets: int = 20_000) -> DataFrame:
+    """``(doc_id, log_weight, log_ratio, score, key, selected)`` for every row of ``docs`` (doc_id, text).
+
+    target: doc_ids of the texts that the sample should be like; the target model is fitted on at most ``most_targets`` of
+    them, the first by hash of the id, so that their ids can be sent to all tasks and no text is ever shuffled. The raw
+    model counts all texts. Both have add-one smoothing. log_weight: the true log importance weight, the sum of
+    log p_target - log p_raw over the document's n-grams; log_ratio: the mean of that, 0 without words. Documents are
+    drawn by the tempered weight, log_ratio times ``length``, so that long texts are not favoured (a text of ``length``
+    n-grams has its true weight). score: the tempered weight w as w / (1 + w). selected: whether the document is among the
+    ceil(share * rows) largest of tempered log weight plus Gumbel noise; ties stay together. The noise is a hash of the id,
+    or of the text where there is no id. Null texts are empty ones; without targets, all weights are equal; an empty
+    table gives an empty result.
     """
     work = Workspace(docs.sparkSession, "importance")
-    chosen = require(target, "doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("good", F.lit(True))
     id_type = dict(docs.dtypes)["doc_id"]
+    ids = require(target, "doc_id").where(F.col("doc_id").isNotNull()).distinct().select(F.col("doc_id").cast(id_type))
+    chosen = work.table(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_targets), "targets")
     rows = require(docs, "doc_id", "text")
 
     @lean
@@ -77,7 +82,8 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, buckets: in
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
 
-    flagged = rows.join(chosen, "doc_id", "left").select("text", "good")
+    # At most ``most_targets`` ids are broadcast.
+    flagged = rows.join(F.broadcast(chosen.withColumn("good", F.lit(True))), "doc_id", "left").select("text", "good")
     sums = flagged.mapInArrow(tally, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()  # at most ``buckets`` rows
     raw, good = np.ones(buckets), np.ones(buckets)
     for r in sums:
@@ -88,19 +94,22 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, buckets: in
     @lean
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            weight, n = [], []
             for block in blocks(b.column(1)):
                 bucket, of = hashed(block, buckets)
-                n = np.bincount(of, minlength=block.n)
-                out.append(np.bincount(of, ratio[bucket], minlength=block.n) / np.maximum(n, 1))
-            if out:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out))], ["doc_id", "log_ratio"])
-
-    weighed = rows.mapInArrow(weigh, f"doc_id {id_type}, log_ratio double")
-    uniform = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("gumbel")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = work.table(weighed.withColumn("key", F.col("log_ratio") * length - F.log(-F.log(uniform))), "keys")
+                n.append(np.bincount(of, minlength=block.n))
+                weight.append(np.bincount(of, ratio[bucket], minlength=block.n))
+            if n:
+                w, many = np.concatenate(weight), np.concatenate(n)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(w), pa.array(w / np.maximum(many, 1))], ["doc_id", "noise", "log_weight", "log_ratio"])
+
+    source = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
+    weighed = rows.withColumn("noise", F.xxhash64(source, F.lit("gumbel"))).mapInArrow(weigh, f"doc_id {id_type}, noise long, log_weight double, log_ratio double")
+    uniform = (F.pmod("noise", F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    keyed = work.table(weighed.withColumn("key", F.col("log_ratio") * length - F.log(-F.log(uniform))).drop("noise"), "keys")
     n = keyed.count()
+    names = ["doc_id", "log_weight", "log_ratio"]
     if not n:
-        return keyed.select("doc_id", "log_ratio", F.lit(0.0).alias("score"), "key", F.lit(False).alias("selected"))
+        return keyed.select(*names, F.lit(0.0).alias("score"), "key", F.lit(False).alias("selected"))
     bar = _kth_largest(keyed, max(1, math.ceil(share * n)))
-    return keyed.select("doc_id", "log_ratio", (1 / (1 + F.exp(-F.col("log_ratio") * length))).alias("score"), "key", (F.col("key") >= bar).alias("selected"))
+    return keyed.select(*names, (1 / (1 + F.exp(-F.col("log_ratio") * length))).alias("score"), "key", (F.col("key") >= bar).alias("selected"))

@@ -169,8 +169,8 @@ def test_cascade_is_its_sql(spark, docs, tables):
     assert sorted(map(str, got.select(*want.columns).toArrow().to_pylist())) == sorted(map(str, want.to_arrow_table().to_pylist()))
 
 
-@pytest.mark.parametrize("most_words", [10**6, 0])
-def test_language_model_counts(docs, most_words):
+@pytest.mark.parametrize("chunk_bytes", [1 << 22, 1 << 10])
+def test_language_model_counts(docs, chunk_bytes):
     rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()]
     train = [split(low(t)) for i, t in rows if i % 3]
     c, n = {}, 0
@@ -178,21 +178,12 @@ def test_language_model_counts(docs, most_words):
         for x in [*w, None]:
             c[x] = c.get(x, 0) + 1
             n += 1
-    got = lm.score(docs.where("doc_id is not null"), F.col("doc_id") % 3 != 0, most_words=most_words).collect()
+    got = lm.score(docs.where("doc_id is not null"), F.col("doc_id") % 3 != 0, chunk_bytes=chunk_bytes, chunks_together=3).collect()
     want = sorted((i, len(split(t)) + 1, sum(x in c for x in [*split(low(t)), None]), n, round(sum(np.log10((c.get(x, 0) + 1) / (n + len(c) + 1)) for x in [*split(low(t)), None]), 6)) for i, t in rows)
     assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["score"] < 0 for r in got)
 
 
-def test_context_trees_give_a_distribution():
-    keys, counts = np.unique(np.random.default_rng(3).choice([0x616263, 0x616264, 0x626162, 0x000061], 500).astype(np.uint32), return_counts=True)
-    trees = lm.ContextTrees(keys, counts, 2)
-    for context in (0x6162, 0x7A7A, 0x0000):
-        assert abs((10 ** trees.log10(np.uint32(context << 8) + np.arange(256, dtype=np.uint32))).sum() - 1) < 1e-5
-    table = lm.GramTable(keys, trees.log10(keys).astype(np.float32))
-    assert np.allclose(table.get(keys), trees.log10(keys), atol=1e-5) and (table.get(np.array([1, 2], np.uint32)) == 1).all()
-
-
 def test_passages_find_repeats_only(spark):
     rng = np.random.default_rng(5)
     own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
