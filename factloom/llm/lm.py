@@ -5,6 +5,11 @@ has a context tree over the preceding bytes. Krichevsky-Trofimov estimates of al
 context-tree weighting: a node's own estimate against the product of its children, half and half a priori. The counts
 that this takes are those of byte strings of length depth + 1, gathered from all training texts in one pass together
 with the word counts.
+
+The model stays a distributed table at every size. Strings fall into parts by the two bytes before their last one, so
+that a part holds whole subtrees below depth 2; what the parts add up to for depths 1 and 0, at most 65 280 nodes, is all
+that the driver sees. Documents are dealt into chunks; a chunk asks each part for its different strings, and each part of
+the words for its different words, and gets their values back.
 """
 
 from __future__ import annotations
@@ -14,23 +19,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Block, Workspace, blocks, lean, lowered, require, shipped, span_hashes, words
+from .shared import Block, Workspace, blocks, lean, lowered, mix, require, span_hashes, words
 
-_UNSEEN = np.float32(1.0)
+#: Stands for the end of a text and for what is before it; no byte of UTF-8.
+END = 255
+#: Parts of the strings, and as many of the words after them.
+PARTS = 256
 
 
 def grams(block: Block, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each lower-cased text, and an end (byte 0) after it: that byte below its ``depth`` predecessors.
+    """For each byte of each lower-cased text, and an end after it: that byte below its ``depth`` predecessors.
 
-    Bytes before the text count as 0. Also returns where each text's strings begin.
+    Also returns where each text's strings begin.
     """
     n = block.n
     size = np.diff(block.offsets)
     at = block.offsets[:-1] + np.arange(n)
-    data = np.zeros(len(block.data) + n + depth, np.uint32)
+    data = np.full(len(block.data) + n + depth, END, np.uint32)
     to = np.arange(len(block.data)) + np.repeat(np.arange(n), size) + depth
     data[to] = lowered(block.data)
     total = len(block.data) + n
@@ -38,7 +47,7 @@ def grams(block: Block, depth: int) -> tuple[np.ndarray, np.ndarray]:
     since = np.arange(total) - np.repeat(at, size + 1)
     for d in range(1, depth + 1):
         before = data[depth - d : depth - d + total]
-        key |= np.where(since >= d, before, 0).astype(np.uint32) << np.uint32(8 * d)
+        key |= np.where(since >= d, before, END).astype(np.uint32) << np.uint32(8 * d)
     return key, at
 
 
@@ -58,48 +67,67 @@ def _lgamma_one(n: np.ndarray) -> np.ndarray:
     return np.where(n < len(small), small[np.minimum(n, len(small) - 1)], big)
 
 
+def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """log of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    return _lgamma_half(zeros) + _lgamma_half(ones) - _lgamma_one(zeros + ones) - math.log(math.pi)
+
+
+def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different keys, sorted, and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *[np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
+
+
+def place_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node, zeros and ones of all bit places, from different sorted strings and their counts."""
+    nodes, zeros, ones = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(8):
+        group = keys >> np.uint32(8 - k)
+        bit = ((keys >> np.uint32(7 - k)) & np.uint32(1)).astype(np.int64)
+        g, one, zero = summed(group, counts * bit, counts * (1 - bit))
+        nodes.append((g >> np.uint32(k)) << np.uint32(8) | np.uint32(1 << k) | (g & np.uint32((1 << k) - 1)))
+        ones.append(one)
+        zeros.append(zero)
+    return summed(np.concatenate(nodes), np.concatenate(zeros), np.concatenate(ones))
+
+
 class ContextTrees:
-    """The weighted context trees of all bit places. Keys: context bytes above, place (1 to 255) in the lowest byte."""
+    """Levels of the weighted context trees of all bit places.
+
+    Node keys: context bytes above, place (1 to 255) in the lowest byte. A level has the nodes, their own share of the
+    mixture and their probability of a one.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
+    def __init__(self, depth: int):
         self.depth = depth
-        self.nodes: list[np.ndarray] = [np.zeros(0, np.uint32)] * (depth + 1)
-        self.own: list[np.ndarray] = [np.zeros(0, np.float32)] * (depth + 1)
-        self.one: list[np.ndarray] = [np.zeros(0, np.float32)] * (depth + 1)
-        below_keys, below_weighted = np.zeros(0, np.uint32), np.zeros(0)
-        for d in range(depth, -1, -1):
-            mask = np.uint32((1 << (8 * (d + 1))) - 1)
-            low = keys & mask
-            order = np.argsort(low, kind="stable")
-            low, c = low[order], counts[order]
-            first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))) if len(low) else np.zeros(0, np.int64)
-            low, c = low[first], np.add.reduceat(c, first) if len(first) else c
-            node_keys, zeros, ones = [], [], []
-            for k in range(8):
-                group = low >> np.uint32(8 - k)
-                bit = (low >> np.uint32(7 - k)) & np.uint32(1)
-                at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(low) else first
-                if not len(at):
-                    continue
-                g = group[at]
-                context, prefix = g >> np.uint32(k), g & np.uint32((1 << k) - 1)
-                node_keys.append(context << np.uint32(8) | np.uint32(1 << k) | prefix)
-                ones.append(np.add.reduceat(c * bit, at))
-                zeros.append(np.add.reduceat(c * (1 - bit.astype(np.int64)), at))
-            if not node_keys:
-                continue
-            nk, a, b = np.concatenate(node_keys), np.concatenate(zeros), np.concatenate(ones)
-            order = np.argsort(nk)
-            nk, a, b = nk[order], a[order].astype(np.int64), b[order].astype(np.int64)
-            estimate = _lgamma_half(a) + _lgamma_half(b) - _lgamma_one(a + b) - math.log(math.pi)
-            if d == depth:
-                weighted, own = estimate, np.ones(len(nk))
-            else:
-                children = np.bincount(np.searchsorted(nk, below_keys & mask), below_weighted, len(nk))
-                weighted = math.log(0.5) + np.logaddexp(estimate, children)
-                own = 1 / (1 + np.exp(np.clip(children - estimate, -700, 700)))
-            below_keys, below_weighted = nk, weighted
-            self.nodes[d], self.own[d], self.one[d] = nk, own.astype(np.float32), ((b + 0.5) / (a + b + 1)).astype(np.float32)
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def add(self, d: int, nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray | None) -> np.ndarray:
+        """Adds level ``d``; children: sums of the nodes' children's log weighted probabilities. Returns the nodes' own."""
+        log_own = estimate(zeros, ones)
+        if children is None:
+            weighted, own = log_own, np.ones(len(nodes))
+        else:
+            weighted = math.log(0.5) + np.logaddexp(log_own, children)
+            own = 1 / (1 + np.exp(np.clip(children - log_own, -700, 700)))
+        self.levels[d] = nodes, own, (ones + 0.5) / (zeros + ones + 1)
+        return weighted
+
+    def build(self, keys: np.ndarray, counts: np.ndarray, down_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Adds the levels from the depth to ``down_to``; returns node, zeros, ones and log weighted of the last level's parents."""
+        nodes, weighted = np.zeros(0, np.uint32), np.zeros(0)
+        zeros = ones = np.zeros(0, np.int64)
+        for d in range(self.depth, down_to - 1, -1):
+            at = np.uint32((1 << (8 * (d + 1))) - 1)
+            low, n = summed(keys & at, counts)
+            below, below_weighted = nodes, weighted
+            nodes, zeros, ones = place_counts(low, n)
+            children = None if d == self.depth else summed(np.concatenate((below & at, nodes)), np.concatenate((below_weighted, np.zeros(len(nodes)))))[1]
+            weighted = self.add(d, nodes, zeros, ones, children)
+        mask = np.uint32((1 << (8 * down_to)) - 1)
+        return summed(nodes & mask, zeros, ones, weighted)
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of each string's last byte after the others."""
@@ -109,49 +137,24 @@ class ContextTrees:
             place = np.uint32(1 << k) | ((keys & np.uint32(255)) >> np.uint32(8 - k))
             p = np.full(len(keys), 0.5)
             for d in range(self.depth, -1, -1):
-                nodes = self.nodes[d]
+                nodes, own, one = self.levels[d]
                 if not len(nodes):
                     continue
-                context = (keys >> np.uint32(8)) & np.uint32((1 << (8 * d)) - 1)
-                key = context << np.uint32(8) | place
+                key = ((keys >> np.uint32(8)) & np.uint32((1 << (8 * d)) - 1)) << np.uint32(8) | place
                 at = np.minimum(np.searchsorted(nodes, key), len(nodes) - 1)
-                w = self.own[d][at]
-                p = np.where(nodes[at] == key, w * self.one[d][at] + (1 - w) * p, 0.5)
+                w = own[at]
+                p = np.where(nodes[at] == key, w * one[at] + (1 - w) * p, 0.5)
             total += np.log10(np.where(bit == 1, p, 1 - p))
         return total
 
 
-class GramTable:
-    """log10 by string, in an open-addressed table."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(8, int(len(keys) * 3).bit_length())
-        self.shift, self.mask = np.uint32(32 - bits), np.int64((1 << bits) - 1)
-        self.keys = np.zeros(1 << bits, np.uint32)
-        self.values = np.full(1 << bits, _UNSEEN, np.float32)
-        slot, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = self.values[slot] == _UNSEEN
-            s, i = np.unique(slot[free], return_index=True)
-            won = left[free][i]
-            self.keys[s], self.values[s] = keys[won], values[won]
-            lost = np.ones(len(left), bool)
-            lost[np.flatnonzero(free)[i]] = False
-            left, slot = left[lost], (slot[lost] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint32(2654435769)) >> self.shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values; 1 where the string is not in the table."""
-        slot = self._slot(keys)
-        out = self.values[slot]
-        todo = np.flatnonzero((out != _UNSEEN) & (self.keys[slot] != keys))
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & self.mask
-            out[todo] = self.values[slot[todo]]
-            todo = todo[(out[todo] != _UNSEEN) & (self.keys[slot[todo]] != keys[todo])]
-        return out
+def string_part(keys: np.ndarray) -> np.ndarray:
+    """The part of each string: a hash of the two bytes before the last one."""
+    return (mix((keys >> np.uint32(8)).astype(np.uint64) & np.uint64(0xFFFF)) % np.uint64(PARTS)).astype(np.int64)
+
+
+def word_part(hashes: np.ndarray) -> np.ndarray:
+    return PARTS + (hashes >> np.uint64(56)).astype(np.int64) % PARTS
 
 
 def _tally(keys: np.ndarray, store: list) -> None:
@@ -168,7 +171,7 @@ def _merged(store: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(work: Workspace, docs: DataFrame, training: Column, depth: int) -> DataFrame:
-    """``(kind, key, n)`` over all training texts: kind 0 byte strings, kind 1 word hashes, kind 2 texts (key 0)."""
+    """``(part, key, n)`` over all training texts: byte strings, word hashes and, as part -1, the texts."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,117 +183,200 @@ def counts(work: Workspace, docs: DataFrame, training: Column, depth: int) -> Da
                 starts, ends, _ = words(block)
                 if len(starts):
                     _tally(span_hashes(lowered(block.data), starts, ends), heads)
-            for kind, store in ((0, strings), (1, heads)):
+            for part, store in ((string_part, strings), (word_part, heads)):
                 if store:
                     k, n = _merged(store)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([0], pa.int64()), pa.array([b.num_rows], pa.int64())], ["kind", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part(k).astype(np.int16)), pa.array(k.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))], ["part", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int16()), pa.array([0], pa.int64()), pa.array([b.num_rows], pa.int64())], ["part", "key", "n"])
+
+    seen = docs.where(training).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "part short, key long, n long")
+    return work.table(seen.groupBy("part", "key").agg(F.sum("n").alias("n")), "counts")
+
 
-    seen = docs.where(training).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "kind byte, key long, n long")
-    return work.table(seen.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+MODEL = "part short, keys binary, counts binary, nodes binary, sums binary"
+
+
+def model_parts(table: DataFrame, depth: int) -> DataFrame:
+    """A row for each part: its keys and counts, packed, and what it adds to the nodes of depth 1.
+
+    A part of the strings holds at most 2**32 / PARTS of them, whatever the input; a part of the words 1 / PARTS of all.
+    """
 
+    def run(part: pa.Table) -> pa.Table:
+        number = part.column("part")[0].as_py()
+        keys = part.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, n = keys[order], part.column("n").to_numpy()[order].astype(np.int64)
+        nodes = sums = b""
+        if number < PARTS:
+            keys = keys.astype(np.uint32)
+            parents, zeros, ones, weighted = ContextTrees(depth).build(keys, n, 2)
+            nodes, sums = parents.tobytes(), np.stack((zeros, ones, weighted)).astype(np.float64).tobytes()
+        cols = [pa.array([number], pa.int16()), *[pa.array([x], pa.binary()) for x in (keys.tobytes(), n.tobytes(), nodes, sums)]]
+        return pa.Table.from_arrays(cols, [f.split()[0] for f in MODEL.split(", ")])
 
-def score(docs: DataFrame, training: Column, depth: int = 3, most_words: int = 8_000_000) -> DataFrame:
+    return table.where("part >= 0").groupBy("part").applyInArrow(run, MODEL)
+
+
+def upper_levels(parts: DataFrame, depth: int) -> ContextTrees:
+    """Depths 1 and 0, from at most 65 280 nodes of depth 1 whatever the input."""
+
+    @lean
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, raw in zip(b.column(0), b.column(1), strict=True):
+                k = np.frombuffer(node.as_py(), np.uint32)
+                zeros, ones, weighted = np.frombuffer(raw.as_py(), np.float64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(zeros), pa.array(ones), pa.array(weighted)], ["node", "zeros", "ones", "weighted"])
+
+    rows = parts.where(f"part < {PARTS}").select("nodes", "sums").mapInArrow(spread, "node long, zeros double, ones double, weighted double")
+    found = rows.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).toArrow()
+    nodes, zeros, ones, children = (c.to_numpy() for c in found.columns)
+    order = np.argsort(nodes)
+    nodes, zeros, ones, children = nodes[order].astype(np.uint32), zeros[order].astype(np.int64), ones[order].astype(np.int64), children[order]
+    trees = ContextTrees(depth)
+    weighted = trees.add(1, nodes, zeros, ones, children)
+    trees.add(0, *summed(nodes & np.uint32(255), zeros, ones, weighted))
+    return trees
+
+
+ASKED = "chunk long, part short, wanted binary"
+ANSWERED = "chunk long, part short, wanted binary, found binary"
+
+
+def score(docs: DataFrame, training: Column, depth: int = 3, chunk_bytes: int = 1 << 22, chunks_together: int = 256) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text) by models of the rows where ``training`` holds.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability by the weighted
     context trees) and bits_per_byte (code length, the end included). A null text is the empty text: one token, the end.
-    depth: bytes of context, at most 3, the same at every size; the driver and the executors hold all different strings of
-    the training texts. Word counts are sent to the executors up to ``most_words`` different
-    words; beyond that documents and counts meet by word in a shuffle. No training row: all counts are zero.
+    depth: bytes of context, 2 or 3, the same at every size. chunk_bytes: documents that ask for values together have so
+    many bytes, or are one longer document; chunks_together: chunks that one task answers at once. Neither changes a
+    score. No training row: all counts are zero and every bit has probability 1/2. An empty table gives an empty result.
     """
-    work = Workspace(docs.sparkSession, "lm")
+    spark = docs.sparkSession
+    work = Workspace(spark, "lm")
     id_type = dict(docs.dtypes)["doc_id"]
     rows = require(docs, "doc_id", "text")
     table = counts(work, rows, training, depth)
-    sums = {r["kind"]: (r["v"], r["n"]) for r in table.groupBy("kind").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
+    kind = F.when(F.col("part") < 0, 2).when(F.col("part") < PARTS, 0).otherwise(1)
+    sums = {r["kind"]: (r["v"], r["n"]) for r in table.groupBy(kind.alias("kind")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
     n_texts = sums.get(2, (0, 0))[1] or 0
     distinct_words, word_tokens = sums.get(1, (0, 0))
     # The end is one more token, known as soon as there is a training text.
     total, vocabulary = word_tokens + n_texts, distinct_words + bool(n_texts)
-    strings = table.where("kind = 0")
-    found = strings.select("key", "n").toArrow()
-    keys = found.column(0).to_numpy().astype(np.uint32)
-    trees = ContextTrees(keys, found.column(1).to_numpy(), depth)
-    gram_table = GramTable(keys, trees.log10(keys).astype(np.float32))
-    del found
-    small = distinct_words <= most_words
-    if small:
-        pairs = table.where("kind = 1").select("key", "n").toArrow()
-        heads = pairs.column(0).to_numpy().view(np.uint64)
-        order = np.argsort(heads)
-        known = (heads[order], pairs.column(1).to_numpy()[order])
-        del pairs, heads
-    else:
-        known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    spark = docs.sparkSession
-    sent_trees, sent_table, sent_words = shipped(spark, trees), shipped(spark, gram_table), spark.sparkContext.broadcast(known)
     unit = math.log10(total + vocabulary + 1)
     end_log = math.log10(n_texts + 1) - unit
+    parts = work.table(model_parts(table, depth), "model")
+    upper = upper_levels(parts, depth).levels
 
-    def measure(block: Block, trees: ContextTrees, gram_table: GramTable) -> np.ndarray:
-        key, at = grams(block, depth)
-        value = gram_table.get(key).astype(np.float64)
-        miss = np.flatnonzero(value > 0)
-        if len(miss):
-            k, back = np.unique(key[miss], return_inverse=True)
-            value[miss] = trees.log10(k)[back]
-        return np.add.reduceat(value, at)
-
-    if small:
-
-        @lean
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            heads, head_counts = sent_words.value
-            model = sent_trees(), sent_table()
-            for b in batches:
-                cols: list[list] = [[], [], [], [], []]
-                for block in blocks(b.column(1), 1 << 20):
-                    starts, ends, of = words(block)
-                    n = np.bincount(of, minlength=block.n)
-                    if len(starts) and len(heads):
-                        h, back = np.unique(span_hashes(lowered(block.data), starts, ends), return_inverse=True)
-                        i = np.minimum(np.searchsorted(heads, h), len(heads) - 1)
-                        c = np.where(heads[i] == h, head_counts[i], 0)[back]
-                    else:
-                        c = np.zeros(len(starts), np.int64)
-                    base = np.bincount(of, np.log10(c + 1) - unit, minlength=block.n) + end_log
-                    size = np.diff(block.offsets) + 1
-                    s = measure(block, *model)
-                    for col, v in zip(cols, (n + 1, np.bincount(of, c > 0, minlength=block.n).astype(np.int64) + (n_texts > 0), base, s, s / -math.log10(2) / size), strict=True):
-                        col.append(v)
-                if b.num_rows:
-                    yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.concatenate(c)) for c in cols]], ["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
-
-        out = rows.mapInArrow(run, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
-        return out.withColumn("train_tokens", F.lit(int(total)).cast("long"))
+    @lean
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            numbers = []
+            for block in blocks(b.column(1), chunk_bytes // 8):
+                if held and held + len(block.data) > chunk_bytes:
+                    chunk, held = chunk + 1, 0
+                held += len(block.data)
+                numbers.append(np.full(block.n, chunk))
+            if numbers:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(numbers)), b.column(0), b.column(1)], ["chunk", "doc_id", "text"])
+
+    dealt = work.table(rows.mapInArrow(deal, f"chunk long, doc_id {id_type}, text string"), "chunks")
 
     @lean
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, and one for each of its different words."""
-        model = sent_trees(), sent_table()
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def asked(chunk: int, strings: list, heads: list) -> pa.RecordBatch:
+            number, wanted = [], []
+            for part, store, kind in ((string_part, strings, np.uint32), (word_part, heads, np.uint64)):
+                if store:
+                    k = np.unique(np.concatenate(store)).astype(kind)
+                    p = part(k)
+                    order = np.argsort(p, kind="stable")
+                    k, p = k[order], p[order]
+                    bounds = np.flatnonzero(np.diff(p, prepend=-1, append=-1))
+                    number += p[bounds[:-1]].tolist()
+                    wanted += [k[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(number), pa.int64()), pa.array(number, pa.int16()), pa.array(wanted, pa.binary())], ["chunk", "part", "wanted"])
+
+        now, strings, heads = None, [], []
         for b in batches:
-            row = b.column(2)
-            for block in blocks(b.column(1), 1 << 20):
-                starts, ends, of = words(block)
-                h = span_hashes(lowered(block.data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
-                order = np.lexsort((h, of))
-                h, of = h[order], of[order]
-                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))) if len(h) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(h)))
-                s = measure(block, *model)
-                bits = s / -math.log10(2) / (np.diff(block.offsets) + 1)
-                mine = row.slice(block.first, block.n)
-                none = pa.nulls(block.n, pa.int64())
-                yield pa.RecordBatch.from_arrays([mine, none, none, pa.array(s), pa.array(bits)], ["row", "key", "times", "score", "bits"])
-                blank = pa.nulls(len(first), pa.float64())
-                yield pa.RecordBatch.from_arrays([mine.take(pa.array(of[first])), pa.array(h[first].view(np.int64)), pa.array(times.astype(np.int64)), blank, blank], ["row", "key", "times", "score", "bits"])
-
-    numbered = work.table(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    parts = work.table(numbered.mapInArrow(spread, "row long, key long, times long, score double, bits double"), "words")
-    known_words = table.where("kind = 1").select("key", "n")
-    joined = parts.where("key is not null").join(known_words, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    base = joined.groupBy("row").agg(F.sum("times").alias("t"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * (F.log10(F.col("n") + 1) - unit)).alias("b"))
-    whole = parts.where("key is null").select("row", "score", "bits").join(base, "row", "left").join(numbered.select("row", "doc_id"), "row")
-    zero = F.lit(0)
-    return whole.select("doc_id", (F.coalesce("t", zero) + 1).alias("n_tokens"), (F.coalesce("k", zero) + int(n_texts > 0)).alias("n_known"), (F.coalesce("b", F.lit(0.0)) + end_log).alias("base_score"), "score", F.col("bits").alias("bits_per_byte"), F.lit(int(total)).cast("long").alias("train_tokens"))
+            numbers = b.column(0).to_numpy()
+            bounds = np.flatnonzero(np.diff(numbers, prepend=-1, append=-1))
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if now != int(numbers[i]):
+                    if now is not None:
+                        yield asked(now, strings, heads)
+                    now, strings, heads = int(numbers[i]), [], []
+                for block in blocks(b.column(1).slice(i, j - i), 1 << 20):
+                    strings.append(np.unique(grams(block, depth)[0]))
+                    starts, ends, _ = words(block)
+                    if len(starts):
+                        heads.append(np.unique(span_hashes(lowered(block.data), starts, ends)))
+        if now is not None:
+            yield asked(now, strings, heads)
+
+    n_chunks = dealt.agg(F.count_distinct("chunk")).first()[0]
+    salts = max(1, -(-n_chunks // chunks_together))
+    salt = F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")
+    asking = dealt.select("chunk", "text").mapInArrow(ask, ASKED).withColumn("salt", salt)
+    serving = parts.select("part", "keys", "counts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def answer(model: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int16()), pa.array([], pa.binary()), pa.array([], pa.binary())], ["chunk", "part", "wanted", "found"])
+        strings = asked.column("part")[0].as_py() < PARTS
+        key = np.uint32 if strings else np.uint64
+        raw = [x.as_py() for x in asked.column("wanted")]
+        wanted = np.frombuffer(b"".join(raw), key)
+        some, back = np.unique(wanted, return_inverse=True)
+        keys, n = (np.frombuffer(b"".join(x.as_py() for x in model.column(c)), t) for c, t in (("keys", key), ("counts", np.int64)))
+        if strings:
+            trees = ContextTrees(depth)
+            trees.build(keys, n, 2)
+            trees.levels |= upper
+            value = trees.log10(some)
+        elif len(keys):
+            at = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+            value = np.where(keys[at] == some, n[at], 0).astype(np.float64)
+        else:
+            value = np.zeros(len(some))
+        value = value[back]
+        ends = np.cumsum([len(x) // key().itemsize for x in raw]).tolist()
+        found = pa.array([value[i:j].tobytes() for i, j in zip([0, *ends], ends, strict=False)], pa.binary())
+        return pa.Table.from_arrays([asked.column("chunk"), asked.column("part"), asked.column("wanted"), found], ["chunk", "part", "wanted", "found"])
+
+    answers = serving.groupBy("part", "salt").cogroup(asking.groupBy("part", "salt")).applyInArrow(answer, ANSWERED)
+
+    out_names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]
+
+    def measure(texts: pa.Table, found: pa.Table) -> pa.Table:
+        number = found.column("part").to_numpy() if found.num_rows else np.zeros(0, np.int16)
+
+        def known(mine: np.ndarray, key) -> tuple[np.ndarray, np.ndarray]:
+            parts = [[np.frombuffer(found.column(c)[int(i)].as_py(), t) for i in np.flatnonzero(mine)] for c, t in (("wanted", key), ("found", np.float64))]
+            k, v = (np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, (key, np.float64), strict=True))
+            k, first = np.unique(k, return_index=True)
+            return k, v[first]
+
+        strings, string_value = known(number < PARTS, np.uint32)
+        heads, head_count = known(number >= PARTS, np.uint64)
+        cols: list[list] = [[pa.array([], x)] for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())]
+        text = texts.column("text").combine_chunks()
+        for block in blocks(text, 1 << 20):
+            starts, ends, of = words(block)
+            n = np.bincount(of, minlength=block.n)
+            c = np.zeros(len(starts))
+            if len(starts):
+                c = head_count[np.searchsorted(heads, span_hashes(lowered(block.data), starts, ends))]
+            base = np.bincount(of, np.log10(c + 1) - unit, minlength=block.n) + end_log
+            key, at = grams(block, depth)
+            s = np.add.reduceat(string_value[np.searchsorted(strings, key)], at)
+            size = np.diff(block.offsets) + 1
+            for col, v in zip(cols, (n + 1, np.bincount(of, c > 0, minlength=block.n).astype(np.int64) + (n_texts > 0), base, s, s / -math.log10(2) / size), strict=True):
+                col.append(pa.array(v))
+        done = [pa.chunked_array(c) for c in cols]
+        return pa.Table.from_arrays([texts.column("doc_id"), *done], out_names)
+
+    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(measure, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    return out.withColumn("train_tokens", F.lit(int(total)).cast("long"))
