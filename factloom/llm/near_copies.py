@@ -108,7 +108,7 @@ def verified(work: Workspace, rows: DataFrame, pairs: DataFrame, width: int, sim
     return work.table(both.mapInArrow(run, "u long, v long"), "links")
 
 
-def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5), sample: int = 20_000, most_frequent: int = 200_000) -> DataFrame:
+def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5), sample: int = 4_000, most_frequent: int = 100_000) -> DataFrame:
     """``docs``, all columns, with one row of each group of near-copies: that of smallest doc_id.
 
     A group is all that is reachable by pairs of rows whose shingle sets have at least the similarity. A row is a node of

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, lean, require
+from .shared import Workspace, lean, lean_cached, require
 
 
 class _Stock:
@@ -109,7 +109,7 @@ def pack(
     keep = {"ids": F.col("ids")} if keep is None else keep
     ending = np.array([end_id], "<u4").tobytes()
 
-    @lean
+    @lean_cached
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)

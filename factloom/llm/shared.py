@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,9 +32,11 @@ def ascii_lower(raw: bytes) -> bytes:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is configured."""
+    """The folder that driver and executors share; a machine-local one only in local mode, where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         folder = f"file://{tempfile.gettempdir()}/checkpoints"
@@ -60,6 +64,11 @@ class Workspace:
             df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.unset(clean) if before is None else self.spark.conf.set(clean, before)
+        # The driver's own heap: grown by plans and task reports, it does not shrink unless asked to.
+        runtime = self.spark._jvm.java.lang.Runtime.getRuntime()
+        if runtime.totalMemory() > runtime.maxMemory() // 2:
+            runtime.gc()
+        _give_back()
         back = self.spark.read.schema(df.schema).parquet(path)
         back._factloom_path = path
         return back
@@ -105,11 +114,23 @@ def shipped(spark: SparkSession, model):
     return get
 
 
-def lean(run: Callable) -> Callable:
-    """``run`` for mapInArrow, giving back what Arrow's pool holds unused after each batch, so that idle workers stay small."""
+def _give_back() -> None:
+    """Returns memory that is held but unused to the system: Arrow's pool and the C library's free lists."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable, caches: bool = False) -> Callable:
+    """``run`` for mapInArrow, giving back unused memory after each batch and at its end, so that idle workers stay small.
+
+    caches: whether the function uses :func:`worker_cache`; others free what an earlier function's tasks have left there.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = pa.default_memory_pool()
+        if not caches:
+            sys.__dict__.pop("_factloom_worker", None)
 
         def each() -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -118,11 +139,15 @@ def lean(run: Callable) -> Callable:
                 pool.release_unused()
 
         yield from run(each())
-        pool.release_unused()
+        _give_back()
 
     return wrapped
 
 
+def lean_cached(run: Callable) -> Callable:
+    return lean(run, caches=True)
+
+
 # --- byte blocks ---------------------------------------------------------------------------------
 
 

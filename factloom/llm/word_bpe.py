@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import BatchBpe, PieceEncoder, code_points, pieces, ragged
-from .shared import lean, require, worker_cache
+from .shared import lean_cached, require, worker_cache
 
 
 class WordBpe:
@@ -82,7 +82,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     that repeat a doc_id are kept; an empty table gives an empty result.
     """
 
-    @lean
+    @lean_cached
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_cache(f"word_bpe:{path}", lambda: WordBpe(path))
         for b in batches:
