@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .identity import FINDING
+from .identity import ASSET, BASELINE, FINDING
 
-COVERAGE = ["tenant_id", "resource_uid", "verification_key", "check_version"]
+COVERAGE = [*ASSET, *BASELINE]
+#: The version of the compatibility policy that both sides must have.
+POLICY = 1
 ORDER = ["occurred_at", "source_stream_id", "source_sequence", "source_event_id"]
 
 
 def findings_of(facts: DataFrame) -> DataFrame:
-    return facts.where("fact_kind = 'finding_occurrence'").select(*FINDING, "verification_key", "check_version").distinct()
+    return facts.where("fact_kind = 'finding_occurrence'").select(*FINDING, *BASELINE).distinct()
 
 
 def coverage_pairs(facts: DataFrame) -> DataFrame:
-    """Each compatible (finding, attempt): an equi-join on tenant, asset, verification key and check version."""
-    attempts = facts.where("fact_kind = 'test_attempt'").drop("vuln_class", "location")
+    """Each compatible (finding, attempt): an equi-join on tenant, asset and baseline, both of policy version 1."""
+    attempts = facts.where(f"fact_kind = 'test_attempt' and compatibility_policy_version = {POLICY}").drop("vuln_class", "location")
     return attempts.join(findings_of(facts), COVERAGE)
 
 
@@ -71,4 +73,4 @@ def detected_without_occurrence(facts: DataFrame) -> DataFrame:
 def detected_unrepresented(facts: DataFrame) -> DataFrame:
     """Completed detected attempts that no visible finding covers."""
     detected = facts.where("fact_kind = 'test_attempt' and execution_status = 'completed' and result = 'detected'")
-    return detected.join(findings_of(facts).select(*COVERAGE).distinct(), COVERAGE, "left_anti").select("tenant_id", "source_event_id")
+    return detected.join(findings_of(facts).where(F.col("compatibility_policy_version") == POLICY).select(*COVERAGE).distinct(), COVERAGE, "left_anti").select("tenant_id", "source_event_id")

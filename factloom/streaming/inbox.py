@@ -1,7 +1,9 @@
 """The sequential inbox: exact replay of deliveries in order of arrival, in batch and as a stream.
 
-A rejected delivery leaves no trace, so a later one may be accepted because an earlier one was not. One group is a
-stream; its state is what it has accepted. ``start`` runs the same rules online.
+A rejected delivery leaves no trace, so a later one may be accepted because an earlier one was not. Rules in order:
+an engagement keeps its stream, a stream (of any tenant) its owner; a known event id of the tenant is NO_OP or
+EVENT_CONTENT; a taken position is STREAM_POSITION; then completion. Tenants that share no stream do not touch each
+other, so a group is a connected component of tenants and streams. Each delivery takes constant time.
 """
 
 from __future__ import annotations
@@ -10,68 +12,107 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DECISION = "tenant_id string, engagement_id string, source_stream_id string, source_sequence long, source_event_id string, arrival long, decision string, reject_reason string"
-STATE = "owner string, events map<string,string>, positions array<long>, marker long, final boolean"
-
-
-def _step(state: dict, r) -> tuple[str, str | None]:
-    owner, h = f"{r.tenant_id}|{r.engagement_id}", f"{r.source_sequence}|{r.content}"
-    if state["owner"] not in (None, owner):
-        return "REJECTED", "STREAM_OWNERSHIP"
-    if r.source_event_id in state["events"]:
-        return ("NO_OP", None) if state["events"][r.source_event_id] == h else ("REJECTED", "EVENT_CONTENT")
-    if r.source_sequence in state["positions"]:
-        return "REJECTED", "STREAM_POSITION"
-    named = getattr(r, "last_data_sequence", None)
-    named = None if named is None or named != named else int(named)
-    top = max(state["positions"], default=0)
-    if state["final"] or (named is not None and top > named) or (named is None and state["marker"] and r.source_sequence > state["marker"]):
-        return "REJECTED", "COMPLETION"
-    state["owner"] = owner
-    state["events"][r.source_event_id] = h
-    state["positions"].add(int(r.source_sequence))
-    if named is not None:
-        state["marker"] = named
-    if state["marker"]:
-        state["final"] = sum(p <= state["marker"] for p in state["positions"]) == state["marker"]
-    return "ACCEPTED", None
-
-
-def _run(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-    got = [_step(state, r) for r in rows.itertuples(index=False)]
-    out = rows[["tenant_id", "engagement_id", "source_stream_id", "source_sequence", "source_event_id", "arrival"]].copy()
-    out["decision"], out["reject_reason"] = [g[0] for g in got], [g[1] for g in got]
-    return out
+STATE = "bindings map<string,string>, owners map<string,string>, events map<string,string>, streams map<string,struct<positions:array<long>,marker:long>>"
+
+
+class Inbox:
+    """What has been accepted."""
+
+    def __init__(self, bindings: dict | None = None, owners: dict | None = None, events: dict | None = None, streams: dict | None = None):
+        self.bindings, self.owners, self.events = bindings or {}, owners or {}, events or {}
+        #: By stream: positions, the marker's limit or 0, the highest position, how many stand at or below the limit.
+        self.streams: dict[str, list] = {}
+        for name, s in (streams or {}).items():
+            positions = set(s["positions"])
+            self.streams[name] = [positions, s["marker"], max(positions, default=0), sum(p <= s["marker"] for p in positions)]
+
+    def state(self) -> tuple:
+        return self.bindings, self.owners, self.events, {n: (sorted(s[0]), s[1]) for n, s in self.streams.items()}
+
+    def step(self, r) -> tuple[str, str | None]:
+        engagement, owner, event = f"{r.tenant_id}|{r.engagement_id}", f"{r.tenant_id}|{r.engagement_id}", f"{r.tenant_id}|{r.source_event_id}"
+        content = f"{r.engagement_id}|{r.source_stream_id}|{r.source_sequence}|{r.content}"
+        if self.bindings.get(engagement, r.source_stream_id) != r.source_stream_id:
+            return "REJECTED", "ENGAGEMENT_BINDING"
+        if self.owners.get(r.source_stream_id, owner) != owner:
+            return "REJECTED", "STREAM_OWNERSHIP"
+        if event in self.events:
+            return ("NO_OP", None) if self.events[event] == content else ("REJECTED", "EVENT_CONTENT")
+        positions, marker, top, within = self.streams.get(r.source_stream_id) or [set(), 0, 0, 0]
+        place = int(r.source_sequence)
+        if place in positions:
+            return "REJECTED", "STREAM_POSITION"
+        named = getattr(r, "last_data_sequence", None)
+        named = None if named is None or named != named else int(named)
+        if marker and (within == marker or named is not None or place > marker) or named is not None and top > named:
+            return "REJECTED", "COMPLETION"
+        self.bindings[engagement], self.owners[r.source_stream_id], self.events[event] = r.source_stream_id, owner, content
+        positions.add(place)
+        if named is not None:
+            marker, within = named, sum(p <= named for p in positions)
+        elif marker and place <= marker:
+            within += 1
+        self.streams[r.source_stream_id] = [positions, marker, max(top, place), within]
+        return "ACCEPTED", None
+
+    def run(self, rows: pd.DataFrame) -> pd.DataFrame:
+        got = [self.step(r) for r in rows.itertuples(index=False)]
+        out = rows[["tenant_id", "engagement_id", "source_stream_id", "source_sequence", "source_event_id", "arrival"]].copy()
+        out["decision"], out["reject_reason"] = [g[0] for g in got], [g[1] for g in got]
+        return out
+
+
+def components(deliveries: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """``(source_stream_id, component)``: the least stream that is reachable over tenants. One row for each stream."""
+    edges = deliveries.select("tenant_id", "source_stream_id").distinct().persist()
+    try:
+        label, size = edges.select("source_stream_id", F.col("source_stream_id").alias("component")).distinct(), -1
+        for _ in range(most_rounds):
+            by_tenant = edges.join(label, "source_stream_id").groupBy("tenant_id").agg(F.min("component").alias("component"))
+            label = edges.join(by_tenant, "tenant_id").groupBy("source_stream_id").agg(F.min("component").alias("component"))
+            rows = label.collect()  # a row for each stream, as many as there are engagements
+            label = deliveries.sparkSession.createDataFrame(rows, label.schema)
+            now = len({r["component"] for r in rows})
+            if now == size:
+                break
+            size = now
+        return label
+    finally:
+        edges.unpersist()
 
 
 def replay(deliveries: DataFrame) -> DataFrame:
-    """Decisions of each delivery (see :func:`factloom.operators.ingest.decide`), one stream after the order of arrival.
+    """Decisions of each delivery (see :func:`factloom.operators.ingest.decide`) in order of arrival, exact always.
 
-    Optional column last_data_sequence marks completion markers. A stream is the unit of order, so it is one group.
+    Optional column last_data_sequence marks completion markers.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _run({"owner": None, "events": {}, "positions": set(), "marker": 0, "final": False}, rows.sort_values("arrival"))
+        return Inbox().run(rows.sort_values("arrival").drop(columns="component"))
 
-    return deliveries.groupBy("source_stream_id").applyInPandas(run, DECISION)
+    return deliveries.join(components(deliveries), "source_stream_id").groupBy("component").applyInPandas(run, DECISION)
 
 
 def start(deliveries: DataFrame) -> DataFrame:
-    """The same over a streaming DataFrame, with the accepted events of each stream as its state."""
+    """The same over a streaming DataFrame. A group is a tenant: its bindings, owners, event ids, positions and marker.
+
+    A stream that two tenants claim is accepted from both here; only :func:`replay` sees all tenants. Each batch writes a
+    tenant's state anew, so state costs as much as the tenant has events.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        inbox = Inbox()
         if group.exists:
-            owner, events, positions, marker, final = group.get
-            state = {"owner": owner, "events": dict(events), "positions": set(positions), "marker": marker, "final": final}
-        else:
-            state = {"owner": None, "events": {}, "positions": set(), "marker": 0, "final": False}
-        rows = pd.concat(list(batches)).sort_values("arrival")
-        yield _run(state, rows)
-        group.update((state["owner"], state["events"], sorted(state["positions"]), state["marker"], state["final"]))
+            bindings, owners, events, streams = group.get
+            inbox = Inbox(dict(bindings), dict(owners), dict(events), {n: {"positions": s[0], "marker": s[1]} for n, s in dict(streams).items()})
+        yield inbox.run(pd.concat(list(batches)).sort_values("arrival"))
+        group.update(inbox.state())
 
-    return deliveries.groupBy("source_stream_id").applyInPandasWithState(run, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
+    return deliveries.groupBy("tenant_id").applyInPandasWithState(run, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-__all__ = ["replay", "start"]
+__all__ = ["Inbox", "components", "replay", "start"]

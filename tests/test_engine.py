@@ -46,15 +46,15 @@ def test_fold_is_the_sequential_one(spark):
         history = [(k, rnd.random() < 0.5) for k in kinds]
         want[f"u{f}"] = sequential(history)
         for i, (k, current) in enumerate(history):
-            rows.append(("t", "now" if current else "then", "s", i, f"{f}-{i:02d}", i, f"u{f}", "k", "v" if k == "O" else None, "l" if k == "O" else None, "1", *outcome[k], "finding_occurrence" if k == "O" else "test_attempt"))
+            rows.append(("t", "now" if current else "then", "s", i, f"{f}-{i:02d}", i, "c", "Deployment", f"u{f}", "k", "v" if k == "O" else None, "l" if k == "O" else None, "1", "00", 1, *outcome[k], "finding_occurrence" if k == "O" else "test_attempt"))
     rnd.shuffle(rows)
-    names = "tenant_id string, engagement_id string, source_stream_id string, source_sequence long, source_event_id string, occurred_at long, resource_uid string, verification_key string, vuln_class string, location string, check_version string, execution_status string, result string, fact_kind string"
+    names = "tenant_id string, engagement_id string, source_stream_id string, source_sequence long, source_event_id string, occurred_at long, cluster_id string, resource_kind string, resource_uid string, verification_key string, vuln_class string, location string, check_version string, relevant_context_hash string, compatibility_policy_version int, execution_status string, result string, fact_kind string"
     got = posture.fold(spark.createDataFrame(rows, names), "now").collect()
     assert {r["resource_uid"]: (r["classification"], r["assessment"], r["exposure"]) for r in got} == want
 
 
 def test_replay_agrees_with_windows(spark):
-    d = deliveries(event_log(spark, DATA)).where("tenant_id <> 'tenant-x'")
+    d = deliveries(event_log(spark, DATA))
     a = {(r["source_event_id"], r["arrival"]): (r["decision"], r["reject_reason"]) for r in ingest.decide(d).collect()}
     b = {(r["source_event_id"], r["arrival"]): (r["decision"], r["reject_reason"]) for r in inbox.replay(d).collect()}
     assert a == b
@@ -94,3 +94,39 @@ def test_write_all_shows_complete_versions_only(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "half/a"))
     with pytest.raises(Exception):
         bundle.read_all(spark, str(tmp_path / "half"))
+
+
+def test_inbox_rules_in_order(spark):
+    """Bindings across streams, ids across streams, chains of rejections."""
+    rows = [
+        ("t", "e", "s1", 1, "a", 1, "x", "ACCEPTED", None),
+        ("t", "e", "s2", 1, "b", 2, "x", "REJECTED", "ENGAGEMENT_BINDING"),
+        ("t", "f", "s2", 1, "b", 3, "x", "ACCEPTED", None),
+        ("u", "g", "s2", 2, "c", 4, "x", "REJECTED", "STREAM_OWNERSHIP"),
+        ("u", "g", "s3", 2, "c", 5, "x", "ACCEPTED", None),
+        ("t", "f", "s2", 2, "a", 6, "x", "REJECTED", "EVENT_CONTENT"),
+        ("t", "f", "s2", 1, "d", 7, "x", "REJECTED", "STREAM_POSITION"),
+        ("t", "f", "s2", 2, "d", 8, "x", "ACCEPTED", None),
+        ("t", "f", "s2", 2, "d", 9, "x", "NO_OP", None),
+        ("t", "f", "s2", 2, "d", 10, "y", "REJECTED", "EVENT_CONTENT"),
+        ("v", "h", "s9", 1, "a", 11, "x", "ACCEPTED", None),
+    ]
+    d = spark.createDataFrame(rows, "tenant_id string, engagement_id string, source_stream_id string, source_sequence long, source_event_id string, arrival long, content string, decision string, reject_reason string")
+    got = inbox.replay(d.drop("decision", "reject_reason")).orderBy("arrival").collect()
+    assert [(r["decision"], r["reject_reason"]) for r in got] == [r[7:] for r in rows]
+
+
+def test_inbox_takes_linear_time():
+    import time
+    from types import SimpleNamespace
+
+    box, began = inbox.Inbox(), time.perf_counter()
+    for i in range(1, 40_001):
+        assert box.step(SimpleNamespace(tenant_id="t", engagement_id="e", source_stream_id="s", source_sequence=i, source_event_id=f"e{i}", content="x", last_data_sequence=None))[0] == "ACCEPTED"
+    assert time.perf_counter() - began < 5
+
+
+def test_gaps_by_bucket(spark):
+    rows = [("t", "s", i) for i in range(1, 60) if i not in (1, 17, 18, 30)] + [("t", "r", i) for i in range(1, 9)]
+    got = ingest.gaps(spark.createDataFrame(rows, "tenant_id string, source_stream_id string, source_sequence long"), bucket=8).collect()
+    assert [r[:] for r in got] == [("t", "s", 1, 4)]
