@@ -1,12 +1,13 @@
 """Byte-pair merges of many fragments at once.
 
 All fragments of one length are rows of a matrix. A step merges, in each row, the pair of lowest rank (the leftmost of
-equals), so every row that is not done has one symbol less after it, and the matrix stays rectangular.
+equals), so every row that is not done has one symbol less after it, and the matrix stays rectangular. That takes time
+with the square of the length, so long fragments are merged one by one, with a heap over a linked list.
 """
 
 from __future__ import annotations
 
-import unicodedata
+from heapq import heapify, heappop, heappush
 from itertools import repeat
 
 import numpy as np
@@ -14,6 +15,8 @@ import numpy as np
 from .shared import span_hashes, worker_cache
 
 _NONE = np.int32(2**31 - 1)
+#: Fragments of more bytes are merged one by one.
+LONG = 200
 
 
 def byte_alphabet() -> list[str]:
@@ -49,6 +52,36 @@ class BatchBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], _NONE)
 
+    def _one(self, ids: np.ndarray) -> np.ndarray:
+        """The merged symbols of one long fragment."""
+        if not hasattr(self, "pairs"):
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged[self.ranks].tolist(), strict=True), strict=True))
+        ranks = self.rank(ids[:-1], ids[1:]).astype(np.int64)
+        at = np.flatnonzero(ranks != _NONE)
+        heap = (ranks[at] << 32 | at).tolist()
+        heapify(heap)
+        s, n, pairs = ids.tolist(), len(ids), self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            top = heappop(heap)
+            i = top & 0xFFFFFFFF
+            j = after[i]
+            if s[i] < 0 or j >= n:
+                continue
+            found = pairs.get(s[i] << 32 | s[j])
+            if found is None or found[0] != top >> 32:
+                continue
+            s[i], s[j] = found[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (x := pairs.get(s[i] << 32 | s[k])) is not None:
+                    heappush(heap, x[0] << 32 | i)
+            h = before[i]
+            if h >= 0 and (x := pairs.get(s[h] << 32 | s[i])) is not None:
+                heappush(heap, x[0] << 32 | h)
+        return np.array([x for x in s if x >= 0], np.int32)
+
     def _group(self, s: np.ndarray, rows: np.ndarray, done: list) -> None:
         r = self.rank(s[:, :-1], s[:, 1:])
         while len(rows):
@@ -108,6 +141,8 @@ class BatchBpe:
                 s[last[rows], -1] = self.base_last[data[ends[rows[last[rows]]] - 1]]
                 if width == 1:
                     done.append((rows, s))
+                elif width > LONG:
+                    done += [(rows[i : i + 1], self._one(s[i])[None, :]) for i in range(len(rows))]
                 else:
                     self._group(s, rows, done)
             begin = bound
@@ -180,17 +215,21 @@ class PieceEncoder:
         return self.pool[ragged(self.begin[at], counts)], counts
 
 
-# Unicode's White_Space.
-WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 # What may follow an apostrophe as a piece of its own.
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 
 def _classes() -> np.ndarray:
-    kind = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kind.get(unicodedata.category(c)[0], OTHER) for c in map(chr, range(0x110000))), np.uint8, 0x110000)
-    out[WHITE_SPACE] = SPACE
+    """As the tokenizers library's own patterns see every code point; Python's tables may be of another Unicode version."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    text = "".join(map(chr, points))
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            out[points[a:b]] = kind
     return out
 
 

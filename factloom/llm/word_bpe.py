@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +39,12 @@ class WordBpe:
 
     @staticmethod
     def normalize(text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
-        return text.lower()
+        """Composed and lower-cased, outside ASCII by the library's own tables."""
+        if text.isascii():
+            return text.lower()
+        from tokenizers import normalizers
+
+        return worker_cache("normalizer", lambda: normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])).normalize_str(text)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         points, offsets = code_points([self.normalize(t) for t in texts])
