@@ -155,6 +155,8 @@ def test_rules_are_those_of_plain_python(docs):
     assert got.where("base_failed <> (n_words < 10 or 100 * n_repeat_words > 20 * n_words) or (base_failed and kept)").count() == 0
     named = quality_rules.rules(F.coalesce("text", F.lit("")))
     orders = [sorted(named), sorted(named, reverse=True)]
+    costs = quality_rules.work(F.coalesce("text", F.lit("")))
+    assert quality_rules.order_rules(docs, named, costs) == quality_rules.order_rules(docs.repartition(3), named, costs)
     assert docs.where(quality_rules.cascade(named, orders[0]) != quality_rules.cascade(named, orders[1])).count() == 0
 
 
