@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .passages import in_sketch, sketch
-from .shared import Workspace, blocks, lean, lowered, mix, require, shingle_hashes, span_hashes, words
+from .shared import Workspace, blocks, lean, lowered, mix, shingle_hashes, span_hashes, words
 from .simhash import fingerprint, near_links
 
 
@@ -113,12 +113,14 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = F
 
     A group is all that is reachable by pairs of rows whose shingle sets have at least the similarity. A row is a node of
     its own, so that rows which share a doc_id count by their texts. Texts without words are alike. Rows without a
-    doc_id stay.
+    doc_id stay. Null texts have no words; further columns may have any names; an empty table gives an empty one.
     """
     work = Workspace(docs.sparkSession, "near-copies")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    whole = work.table(docs.where(F.col("doc_id").isNotNull()).withColumn("row", F.monotonically_increasing_id()), "rows")
-    rows = require(whole, "row", "text")
+    names = docs.columns
+    base = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    own_id = F.col(f"_{names.index('doc_id')}")
+    whole = work.table(base.where(own_id.isNotNull()).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = whole.select("row", F.col(f"_{names.index('text')}").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, width, sample, most_frequent))
 
     @lean
@@ -187,6 +189,6 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = F
     more = verified(work, rows, work.table(pairs, "candidates"), width, similarity)
     roots = work.table(connected_components(work, links.union(more)), "roots")
     group = node_of.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
-    kept = whole.select("row", "doc_id").join(group, "row").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("m")).select(F.col("m.row").alias("row"))
+    kept = whole.select("row", own_id.alias("doc_id")).join(group, "row").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("m")).select(F.col("m.row").alias("row"))
     kept = work.table(kept, "kept")
-    return whole.join(kept, "row", "left_semi").select(*names).unionByName(docs.where(F.col("doc_id").isNull()))
+    return whole.join(kept, "row", "left_semi").select(*base.columns).unionByName(base.where(own_id.isNull())).toDF(*names)

@@ -377,7 +377,9 @@ def keep_civil(docs: DataFrame, labels: DataFrame, training: Column, threshold:
     if model is None:
         return docs
     model_here = shipped(docs.sparkSession, model)
-    place = docs.columns.index("text")
+    names = docs.columns
+    place = names.index("text")
+    placed = docs.toDF(*[f"_{i}" for i in range(len(names))])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,4 +388,4 @@ def keep_civil(docs: DataFrame, labels: DataFrame, training: Column, threshold:
             keep = model.score(model.features(b.column(place))) < threshold
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return placed.mapInArrow(run, placed.schema).toDF(*names)
