@@ -134,6 +134,7 @@ def nearest(
         xp = np.frombuffer(b"".join(left["perm"]), np.int16).reshape(-1, length)
         qp = np.frombuffer(b"".join(right["perm"]), np.int16).reshape(-1, length)
         reps = left["rep"].to_numpy()
+        by_id = np.argsort(np.argsort(reps))
         place = np.full((len(chosen), len(x)), length, np.int16)
         place[xp.T, np.arange(len(x))[None, :]] = np.arange(length, dtype=np.int16)[:, None]
         ids, scores = [], []
@@ -145,7 +146,8 @@ def nearest(
             # Pivots of both lists: the difference of places. Pivots of one: what is missing from that list's sum.
             apart = np.abs(at - np.arange(length, dtype=np.int16)[None, :, None]).sum(axis=1, dtype=np.int32)
             apart += missing - (length - at).sum(axis=1, dtype=np.int32)
-            pick = np.argpartition(apart, take - 1, axis=1)[:, :take]
+            # Equal distances go to the smaller id, so that the rows' order decides nothing.
+            pick = np.argpartition(apart.astype(np.int64) * len(x) + by_id, take - 1, axis=1)[:, :take]
             s = np.einsum("qcd,qd->qc", x[pick], q[i : i + step])
             best = np.lexsort((reps[pick], -s), axis=1)[:, : k + 1]
             ids.extend(np.take_along_axis(reps[pick], best, 1))
