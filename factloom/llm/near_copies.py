@@ -97,8 +97,13 @@ def verified(work: Workspace, rows: DataFrame, pairs: DataFrame, width: int, sim
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
+                # The join on v leaves the pairs of one v side by side: its set is made once.
+                v = part.column(1).to_numpy()
+                new = np.concatenate(([True], v[1:] != v[:-1]))
+                of_v = shingle_sets(part.column(3).filter(pa.array(new)), width)
                 ok = []
-                for x, y in zip(shingle_sets(part.column(2), width), shingle_sets(part.column(3), width), strict=True):
+                for x, fresh in zip(shingle_sets(part.column(2), width), new, strict=True):
+                    y = next(of_v) if fresh else y
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok.append(both * similarity.denominator >= similarity.numerator * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
