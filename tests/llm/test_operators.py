@@ -99,6 +99,38 @@ def test_links_have_all_components(n):
             assert root[int(fp[i])] == root[int(fp[j])]
 
 
+@pytest.mark.parametrize(("distance", "most"), [(1, 8), (2, 8), (2, 512), (3, 8)])
+def test_position_index_links_all_near_fingerprints(spark, distance, most):
+    rng = np.random.default_rng(distance)
+    lone = rng.integers(0, 2**63, 200).astype(np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k in rng.integers(1, distance + 2, 200)], np.uint64)
+    # A long list: four bytes shared, the others near each other or not.
+    family = np.uint64(0x0123456700000000) ^ np.array([sum(1 << int(b) for b in rng.choice(32, 3, replace=False)) for _ in range(150)], np.uint64)
+    fp = np.unique(np.concatenate((lone, lone ^ flips, family)))
+    links = simhash.near_links(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"), distance, most).collect()
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance
+    want, got = list(range(len(fp))), list(range(len(fp)))
+
+    def find(root, x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in zip(*np.nonzero(near), strict=True):
+        want[find(want, max(i, j))] = find(want, min(i, j))
+    at = {int(x): i for i, x in enumerate(fp.view(np.int64))}
+    for r in links:
+        got[find(got, at[r["u"]])] = find(got, at[r["v"]])
+    classes = lambda root: {frozenset(i for i in range(len(fp)) if find(root, i) == x) for x in {find(root, i) for i in range(len(fp))}}
+    assert classes(got) == classes(want)
+
+
+def test_the_tally_rejects_pairs_of_a_list():
+    a = np.array([0, 0, 0], np.uint64)
+    b = np.array([0x0101, 0x010101, 0x07], np.uint64)
+    assert simhash.retained(a, b, 2).tolist() == [True, False, False]
+
+
 def test_tokens_are_those_of_the_library(docs):
     from tokenizers import Tokenizer
 
