@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, language, lm, packing, passages, permutation, quality_rules, simhash, tokens, toxicity, word_bpe
+from . import filtering_lloyd, importance, language, lm, merkle, norm_buckets, oracle, packing, passages, permutation, quality_rules, simhash, tokens, toxicity, word_bpe
 from .shared import remainder, worker_cache
 
 
@@ -86,6 +86,18 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op11_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.search_exact(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op12_radix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+def op13_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtering_lloyd.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -100,39 +112,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_forced_boundary_bpe,
             op9_cascade,
             op10_context_tree,
+            op11_norm_buckets,
+            op12_radix_trie,
+            op13_filtering_lloyd,
         )
     }
 
 
-CASCADE_SQL = r"""
-with texts as (select row_number() over () as row_id, doc_id, coalesce(text, '') as text from documents),
-parts as (
-    select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
-        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
-    from texts
-),
-places as (select row_id, words, unnest(range(1, len(words) - 3)) as i from parts),
-windows as (select row_id, i, array_to_string(words[i : i + 4], ' ') as w from places),
-repeated as (select row_id, i from windows qualify count(*) over (partition by row_id, w) > 1),
-steps as (select row_id, least(5, coalesce(lead(i) over (partition by row_id order by i) - i, 5)) as step from repeated),
-covered as (select row_id, sum(step) as n from steps group by row_id),
-counts as (
-    select doc_id, cast(len(words) as bigint) as n_words,
-        cast(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
-        cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
-        cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words,
-        len(lines) as n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as upper,
-        length(text) - length(replace(text, '!', '')) as marks
-    from parts left join covered using (row_id)
-),
-judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counts)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not (base_failed or word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * n_symbols > 3 * n_words
-        or 10 * n_dup_lines > 3 * n_lines or 10 * upper > 6 * word_chars or 10 * marks > 5 * n_words) as kept
-from judged
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    """The cascade alone: trained scores, packing, searches, 64-bit text hashes and tokens are beyond SQL."""
-    return {"op9_cascade": CASCADE_SQL}
+    """Where SQL can express an operator; trained scores, packing, approximate searches, 64-bit text hashes and tokens are beyond it."""
+    return {"op9_cascade": oracle.CASCADE_SQL, "op11_norm_buckets": oracle.TOP_SQL, "op12_radix_trie": oracle.manifest_sql(), "op13_filtering_lloyd": oracle.codes_sql()}
