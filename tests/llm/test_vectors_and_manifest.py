@@ -60,7 +60,8 @@ def test_norm_buckets_prune_by_both_ways():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(40, 64))
     centres /= np.linalg.norm(centres, axis=1)[:, None]
-    x = np.floor(256 * np.repeat(centres, 100, axis=0) + rng.normal(size=(4000, 64)))
+    x = np.repeat(centres, 100, axis=0) + rng.normal(size=(4000, 64)) / 256
+    x = np.floor(4096 * x / np.linalg.norm(x, axis=1)[:, None])  # equal lengths, so that only coordinates tell them apart
     chunk, q = norm_buckets.Chunk(np.arange(4000), x), np.concatenate((x[::200], rng.normal(size=(20, 64)) * 200 // 1))
     scores = q @ x.T
     least = np.partition(scores, -6, axis=1)[:, -6]
