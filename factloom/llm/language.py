@@ -114,12 +114,16 @@ class ByteNet:
 
 
 def train_sample(docs: DataFrame, training: Column, most_rows: int) -> tuple[list[str], list[bytes], np.ndarray]:
-    """Whole texts and labels of at most ``most_rows`` labelled training rows, the first by hash of the id."""
+    """Whole texts and labels of at most ``most_rows`` labelled training ids, the first by hash of the id.
+
+    Of rows that share an id the least (text, lang) stands for all, so that the rows are as bounded as the ids.
+    """
     given = require(docs, "doc_id", "text", "lang").where(training & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     # Ids are chosen first: a sort with a limit would bring that many texts of every task here.
     chosen = given.where(F.col("text").rlike(r"\p{L}")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = given.join(F.broadcast(chosen), "doc_id", "left_semi").where("text is not null").select("doc_id", "text", "lang").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    least = given.join(F.broadcast(chosen), "doc_id", "left_semi").where("text is not null").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x"))
+    rows = least.select("doc_id", "x.*").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     classes = sorted({r["lang"] for r in rows})
     index = {c: i for i, c in enumerate(classes)}
     return classes, [r["text"].encode("utf-8") for r in rows], np.array([index[r["lang"]] for r in rows])

@@ -293,58 +293,6 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, most_rows: int =
     return model.fit(x.astype(np.float32), y)
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        z = self.trees.margin(x)
-        return np.clip(self.values[np.maximum(np.searchsorted(self.steps, z, "right") - 1, 0)], 0, 1)
-
-
-def learn(docs: DataFrame, labels: DataFrame, training: Column, most_rows: int = 6000, most_learned: int = 60) -> ToxicityModel | None:
-    """A model from at most ``most_rows`` labelled rows where ``training`` holds, the first by hash of the id.
-
-    The learned lexicon has at most ``most_learned`` words and as many beginnings of words, which stand in at least 1 % of
-    the toxic texts of the sample and are there 30 times as frequent as in the others. None if the sample has not both labels.
-    """
-    given = require(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = require(docs, "doc_id", "text")
-    # Ids are chosen first, at most ``most_rows``: a sort with a limit would bring that many texts of every task here.
-    chosen = texts.select("doc_id").join(given, "doc_id").where(training).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["text"]))
-    y = np.array([r["toxic"] for r in rows], np.float64)
-    if not len(y) or y.min() == y.max():
-        return None
-    outside = "".join(map(chr, range(33, 65))) + "[]^_`{|}~"
-
-    def terms(t: str) -> tuple[set, set]:
-        own = {w.strip(outside) for w in t.lower().split()}
-        raws = [w.encode("utf-8") for w in own]
-        return own, {w[:k] for w in raws for k in STEMS if len(w) >= k}
-
-    bad, good = y.sum(), len(y) - y.sum()
-    seen: list[dict] = [{}, {}]
-    for r in rows:
-        if r["toxic"]:
-            for store, names in zip(seen, terms(r["text"]), strict=True):
-                for w in names:
-                    store[w] = store.get(w, 0) + 1
-    # Only terms that are frequent enough in toxic texts are counted in the others.
-    seen = [{w: n for w, n in store.items() if w and n >= max(3, 0.01 * bad)} for store in seen]
-    clean: list[dict] = [dict.fromkeys(store, 0) for store in seen]
-    for r in rows:
-        if not r["toxic"]:
-            for store, names in zip(clean, terms(r["text"]), strict=True):
-                for w in names:
-                    if w in store:
-                        store[w] += 1
-
-    def telling(k: int) -> list:
-        ratio = {w: (n / bad) / ((clean[k][w] + 0.5) / good) for w, n in seen[k].items()}
-        return sorted((w for w, v in ratio.items() if v >= 30), key=lambda w: (-seen[k][w], w))[:most_learned]
-
-    model = ToxicityModel(telling(0), telling(1))
-    return model.fit(model.features(pa.array([r["text"] for r in rows], pa.string())), y)
-
-
 def score(docs: DataFrame, labels: DataFrame, training: Column, most_rows: int = 6000) -> DataFrame:
     """``(doc_id, score)`` for every row of ``docs`` (doc_id, text); null texts are scored as empty ones.
 
