@@ -1,9 +1,7 @@
-"""The sequential inbox: exact replay of deliveries in order of arrival, in batch and as a stream.
+"""The inbox: decisions over a log in batch, exact and as sets, and the same rules one delivery at a time as a stream.
 
-A rejected delivery leaves no trace, so a later one may be accepted because an earlier one was not. Rules in order:
-an engagement keeps its stream, a stream (of any tenant) its owner; a known event id of the tenant is NO_OP or
-EVENT_CONTENT; a taken position is STREAM_POSITION; then completion. Tenants that share no stream do not touch each
-other, so a group is a connected component of tenants and streams. Each delivery takes constant time.
+Rules in order: an engagement keeps its stream, a stream (of any tenant) its owner; a known event id of the tenant is
+NO_OP or EVENT_CONTENT; a taken position is STREAM_POSITION; then completion. A rejected delivery leaves no trace.
 """
 
 from __future__ import annotations
@@ -12,9 +10,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import exact
+
 DECISION = "tenant_id string, engagement_id string, source_stream_id string, source_sequence long, source_event_id string, arrival long, decision string, reject_reason string"
 STATE = "bindings map<string,string>, owners map<string,string>, events map<string,string>, streams map<string,struct<positions:array<long>,marker:long>>"
 
@@ -35,7 +34,9 @@ class Inbox:
 
     def step(self, r) -> tuple[str, str | None]:
         engagement, owner, event = f"{r.tenant_id}|{r.engagement_id}", f"{r.tenant_id}|{r.engagement_id}", f"{r.tenant_id}|{r.source_event_id}"
-        content = f"{r.engagement_id}|{r.source_stream_id}|{r.source_sequence}|{r.content}"
+        named = getattr(r, "last_data_sequence", None)
+        named = None if named is None or named != named else int(named)
+        content = f"{r.engagement_id}|{r.source_stream_id}|{r.source_sequence}|{named}|{r.content}"
         if self.bindings.get(engagement, r.source_stream_id) != r.source_stream_id:
             return "REJECTED", "ENGAGEMENT_BINDING"
         if self.owners.get(r.source_stream_id, owner) != owner:
@@ -46,8 +47,6 @@ class Inbox:
         place = int(r.source_sequence)
         if place in positions:
             return "REJECTED", "STREAM_POSITION"
-        named = getattr(r, "last_data_sequence", None)
-        named = None if named is None or named != named else int(named)
         if marker and (within == marker or named is not None or place > marker) or named is not None and top > named:
             return "REJECTED", "COMPLETION"
         self.bindings[engagement], self.owners[r.source_stream_id], self.events[event] = r.source_stream_id, owner, content
@@ -66,35 +65,12 @@ class Inbox:
         return out
 
 
-def components(deliveries: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """``(source_stream_id, component)``: the least stream that is reachable over tenants. One row for each stream."""
-    edges = deliveries.select("tenant_id", "source_stream_id").distinct().persist()
-    try:
-        label, size = edges.select("source_stream_id", F.col("source_stream_id").alias("component")).distinct(), -1
-        for _ in range(most_rounds):
-            by_tenant = edges.join(label, "source_stream_id").groupBy("tenant_id").agg(F.min("component").alias("component"))
-            label = edges.join(by_tenant, "tenant_id").groupBy("source_stream_id").agg(F.min("component").alias("component"))
-            rows = label.collect()  # a row for each stream, as many as there are engagements
-            label = deliveries.sparkSession.createDataFrame(rows, label.schema)
-            now = len({r["component"] for r in rows})
-            if now == size:
-                break
-            size = now
-        return label
-    finally:
-        edges.unpersist()
-
-
 def replay(deliveries: DataFrame) -> DataFrame:
-    """Decisions of each delivery (see :func:`factloom.operators.ingest.decide`) in order of arrival, exact always.
+    """Decisions of each delivery in order of arrival, exact always: :func:`factloom.operators.exact.decide`, as sets.
 
     Optional column last_data_sequence marks completion markers.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return Inbox().run(rows.sort_values("arrival").drop(columns="component"))
-
-    return deliveries.join(components(deliveries), "source_stream_id").groupBy("component").applyInPandas(run, DECISION)
+    return exact.decide(deliveries)
 
 
 def start(deliveries: DataFrame) -> DataFrame:
@@ -115,4 +91,4 @@ def start(deliveries: DataFrame) -> DataFrame:
     return deliveries.groupBy("tenant_id").applyInPandasWithState(run, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-__all__ = ["Inbox", "components", "replay", "start"]
+__all__ = ["Inbox", "replay", "start"]
