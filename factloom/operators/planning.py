@@ -112,11 +112,12 @@ def compare_evidence(evidence: DataFrame, orders: DataFrame) -> DataFrame:
     return out.withColumn("comparable", comparable)
 
 
-def controlled_input_digest(candidates: DataFrame, events: DataFrame, engagement_id: str, budget: int) -> DataFrame:
+def controlled_input_digest(candidates: DataFrame, events: DataFrame, engagement_id: str, budget: int | None, tenant: Column | None = None) -> DataFrame:
     """By tenant: digest of the line text of tenant, engagement, budget, candidates with their actions, and other events.
 
     candidates: tenant_id, candidate_id and the target. events: tenant_id, role (action, supporting, background or
-    completion), candidate_id (of actions), source_event_id, event_hash. The digest covers one ordered text by definition.
+    completion), candidate_id (of actions), source_event_id, event_hash. tenant: the name in the text, as an expression of
+    tenant_id. The digest covers one ordered text by definition.
     """
     # The order of sections and the form of the lines.
     target = F.concat_ws("|", F.concat(F.lit("candidate="), F.col("candidate_id")), "cluster_id", "resource_kind", "resource_uid", "verification_key")
@@ -127,7 +128,7 @@ def controlled_input_digest(candidates: DataFrame, events: DataFrame, engagement
     kept = events.where("role <> 'action'").unionByName(events.where("role = 'action'").join(known, ["tenant_id", "candidate_id"], "left_semi"))
     rest = kept.select("tenant_id", section.alias("section"), F.coalesce("candidate_id", F.lit("")).alias("candidate_id"), F.col("source_event_id").alias("event"), F.concat(role, F.lit("="), F.col("source_event_id"), F.lit("|"), F.col("event_hash")).alias("line"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("section", "candidate_id", "event", "line"))), lambda x: F.concat(x["line"], F.lit("\n")))
-    head = F.concat(F.lit("tenant="), F.col("tenant_id"), F.lit(f"\nengagement={engagement_id}\nbudget={budget}\n"))
+    head = F.concat(F.lit("tenant="), F.col("tenant_id") if tenant is None else tenant, F.lit(f"\nengagement={engagement_id}\nbudget={budget}\n"))
     return heads.unionByName(rest).groupBy("tenant_id").agg(F.array_join(lines, "").alias("body")).select("tenant_id", F.sha2(F.concat(head, "body"), 256).alias("digest"))
 
 

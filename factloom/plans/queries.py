@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical
-from ..operators import boundary, identity, ingest, planning, posture, reporting
-from ..sources.adapter import deliveries, event_hash, event_log, raw_attempts, with_markers
+from ..operators import arms, boundary, identity, ingest, planning, posture, reporting
+from ..sources.adapter import deliveries, event_hash, event_log, journal_deliveries, raw_attempts, with_markers
+from ..sources.staging import Staging
 from ..streaming import inbox
 
 CURRENT = "eng-3"
@@ -32,6 +34,39 @@ def positions(log: DataFrame) -> DataFrame:
     return limits(log).drop("engagement_id")
 
 
+class Run:
+    """What a query uses more than once: the log, the facts and the fold, each written once."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.work = Staging(spark, "query")
+        self.log = self.work.table(event_log(spark, d), "log")
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return self.work.table(positions(self.log), "positions")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self.work.table(boundary.select_facts(self.log, self.positions), "facts")
+
+    @cached_property
+    def folded(self) -> DataFrame:
+        return self.work.table(posture.fold(self.facts, CURRENT), "folded")
+
+    @cached_property
+    def featured(self) -> DataFrame:
+        before = posture.fold(self.facts.where(F.col("engagement_id") != CURRENT), "eng-2")
+        return self.work.table(planning.memory_features(_candidates(self.log), before), "featured")
+
+    @cached_property
+    def hashed(self) -> DataFrame:
+        return self.work.table(_hashed(self.log), "hashed")
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        return self.work.table(planning.candidate_actions(_listed(self.log), self.hashed), "actions")
+
+
 def facts(spark: SparkSession, d: str) -> DataFrame:
     log = event_log(spark, d)
     return boundary.select_facts(log, positions(log))
@@ -204,7 +239,7 @@ def _heads(log: DataFrame, seen: DataFrame, asked: DataFrame) -> DataFrame:
 
 def stateless_report(spark: SparkSession, d: str) -> DataFrame:
     """Tenant 0 asks with all its streams and is refused; the others ask with the current engagement's stream alone."""
-    log = event_log(spark, d)
+    log = Run(spark, d).log
     known = limits(log)
     asked = known.where((F.col("engagement_id") == CURRENT) | (F.col("tenant_id") == "tenant-0"))
     other = asked.where(F.col("engagement_id") != CURRENT).select("tenant_id").distinct()
@@ -213,9 +248,8 @@ def stateless_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def memory_report(spark: SparkSession, d: str) -> DataFrame:
-    log = event_log(spark, d)
-    seen = boundary.select_facts(log, positions(log))
-    return reporting.memory_report(_heads(log, seen, positions(log)), posture.fold(seen, CURRENT))
+    run = Run(spark, d)
+    return reporting.memory_report(_heads(run.log, run.facts, run.positions), run.folded)
 
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
@@ -239,14 +273,8 @@ def _candidates(log: DataFrame) -> DataFrame:
     return targets.withColumn("candidate_id", F.concat_ws(":", "resource_uid", "verification_key"))
 
 
-def _before(log: DataFrame) -> DataFrame:
-    """Posture at the boundary of the earlier engagements."""
-    return posture.fold(boundary.select_facts(log, positions(log)).where(F.col("engagement_id") != CURRENT), "eng-2")
-
-
 def _featured(spark: SparkSession, d: str) -> DataFrame:
-    log = event_log(spark, d)
-    return planning.memory_features(_candidates(log), _before(log))
+    return Run(spark, d).featured
 
 
 def memory_features(spark: SparkSession, d: str) -> DataFrame:
@@ -298,42 +326,33 @@ def action_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def regression_metric(spark: SparkSession, d: str) -> DataFrame:
-    log = event_log(spark, d)
-    actions = planning.candidate_actions(_listed(log), _hashed(log))
-    return planning.regression_metric(planning.plan(_featured(spark, d), None, True), actions, folded(spark, d), facts(spark, d), CURRENT)
+    run = Run(spark, d)
+    return planning.regression_metric(planning.plan(run.featured, None, True), run.actions, run.folded, run.facts, CURRENT)
 
 
-def _inputs(log: DataFrame) -> DataFrame:
+def _inputs(run: Run) -> DataFrame:
     """The current engagement's events with their roles in the input of a plan."""
-    hashed = _hashed(log)
-    actions = planning.candidate_actions(_listed(log), hashed).select("tenant_id", F.lit("action").alias("role"), "candidate_id", "source_event_id", "event_hash")
-    rest = planning.supporting_events(hashed, actions)
+    actions = run.actions.select("tenant_id", F.lit("action").alias("role"), "candidate_id", "source_event_id", "event_hash")
+    rest = planning.supporting_events(run.hashed, actions)
     role = F.when(F.col("event_type") == "asset_observation", "supporting").otherwise("background")
     return actions.unionByName(rest.select("tenant_id", role.alias("role"), F.lit(None).cast("string").alias("candidate_id"), "source_event_id", "event_hash"))
 
 
 def controlled_input_digest(spark: SparkSession, d: str) -> DataFrame:
-    log = event_log(spark, d)
-    return planning.controlled_input_digest(_candidates(log), _inputs(log), CURRENT, BUDGET)
+    run = Run(spark, d)
+    return planning.controlled_input_digest(_candidates(run.log), _inputs(run), CURRENT, BUDGET)
 
 
 def arm_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Both arms over all candidates: each plans before the current engagement and then meets the same facts."""
-    log, featured, after = event_log(spark, d), _featured(spark, d), folded(spark, d)
-    known, before = facts(spark, d), limits(log).where(F.col("engagement_id") != CURRENT)
-    earlier = reporting.fact_digest(boundary.select_facts(log, before), "tenant_id").select("tenant_id", F.col("fact_digest").alias("earlier_fact_digest"))
-    current_before = boundary.select_facts(log, before).groupBy("tenant_id").agg(F.count_if(F.col("engagement_id") == CURRENT).alias("current_facts_before"))
-    heads = _heads(log, known, positions(log)).select("tenant_id", F.col("knowledge_boundary_hash").alias("boundary_hash"), F.col("current_engagement_fact_digest").alias("fact_digest"))
-    report = memory_report(spark, d).select("tenant_id", F.col("digest").alias("report_digest"))
-    inputs = controlled_input_digest(spark, d).withColumnRenamed("digest", "input_digest")
-    actions = planning.candidate_actions(_listed(log), _hashed(log))
-
-    control, memory = planning.plan(featured, None, False), planning.plan(featured, None, True)
-    planned = control.withColumn("mode", F.lit("memory-off")).unionByName(memory.withColumn("mode", F.lit("memory-on")))
-    metric = planning.regression_metric(planned, actions, after, known, CURRENT, by=("mode",)).drop("most_owners")
-    shared = heads.join(earlier, "tenant_id").join(current_before, "tenant_id").join(report, "tenant_id").join(inputs, "tenant_id")
-    evidence = shared.withColumn("mode", F.explode(F.array(F.lit("memory-off"), F.lit("memory-on")))).join(metric, ["tenant_id", "mode"], "left")
-    return planning.compare_evidence(evidence, planning.compare_arms(control, memory))
+    """Both arms over all candidates: each ingests the earlier engagements, plans, delivers in its own order, and reports."""
+    run = Run(spark, d)
+    given = run.work.table(journal_deliveries(run.log, limits(run.log)), "given")
+    known = given.where("event_type <> 'engagement_completed'").select("tenant_id", "source_event_id")
+    listed = _listed(run.log.join(known, ["tenant_id", "source_event_id"], "left_semi")).select("tenant_id", "candidate_id", "action_event_ids")
+    candidates = _candidates(run.log).join(listed, ["tenant_id", "candidate_id"], "left").withColumn("action_event_ids", F.coalesce("action_event_ids", F.array().cast("array<string>")))
+    both = arms.both_arms(given).drop("mode")
+    early = F.col("engagement_id") != CURRENT
+    return arms.compare(*arms.run(both.where(early), both.where(~early), arms.both_arms(candidates).drop("mode"), "eng-2", CURRENT, None))
 
 
 def detected_without_occurrence(spark: SparkSession, d: str) -> DataFrame:
@@ -346,7 +365,9 @@ def detected_unrepresented(spark: SparkSession, d: str) -> DataFrame:
 
 def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
     """Rows, or keys, of the deliveries and of the log that break a rule of the tables."""
-    e, log = deliveries(event_log(spark, d)), event_log(spark, d)
+    run = Run(spark, d)
+    log = run.log
+    e = run.work.table(deliveries(log), "deliveries")
     twice = lambda name, df, *keys: df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n_violations")).select(F.lit(name).alias("rule"), "n_violations")
     attempt = F.col("event_type") == "test_attempt"
     legal = F.when(F.col("execution_status") == "completed", F.coalesce(F.col("result").isin("detected", "not_detected"), F.lit(False))).otherwise(F.coalesce(F.col("result") == "inconclusive", F.lit(True)))

@@ -80,6 +80,17 @@ def with_markers(log: DataFrame, positions: DataFrame) -> DataFrame:
     return data.unionByName(again).unionByName(marks)
 
 
+def journal_deliveries(log: DataFrame, limits: DataFrame) -> DataFrame:
+    """The log up to the limit of each stream, with a marker behind it, as :func:`factloom.operators.journal.deliveries` gives them."""
+    keys = ["tenant_id", "engagement_id", "source_stream_id"]
+    inside = log.join(limits, keys).where(F.col("source_sequence") <= F.col("last_data_sequence")).drop("last_data_sequence")
+    data = inside.withColumns({"arrival": F.col("event_id"), "canonical_source_hash": event_hash(), "last_data_sequence": F.lit(None).cast("long")})
+    marks = limits.select(*keys, (F.col("last_data_sequence") + 1).alias("source_sequence"), F.concat(F.lit("mark-"), "source_stream_id").alias("source_event_id"), F.lit("engagement_completed").alias("event_type"), F.lit(10**12).alias("arrival"), "last_data_sequence")
+    marks = marks.withColumn("canonical_source_hash", sha256(F.concat_ws("|", "source_event_id", "last_data_sequence")))
+    both = data.unionByName(marks, allowMissingColumns=True)
+    return both.withColumns({"content": F.col("canonical_source_hash"), "dns": F.lit(None).cast("string"), "labels": F.lit(None).cast("map<string,string>")})
+
+
 def raw_attempts(log: DataFrame) -> DataFrame:
     """``(event_id, json)``: the attempts as JSON texts, some of them broken in one of the ways a codec must survive."""
     context = F.struct(F.lit("https").alias("protocol"), F.col("port"), F.concat(F.lit("/"), F.col("location")).alias("normalized_route"), F.lit(False).alias("is_address_bound"))
