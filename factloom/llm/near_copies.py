@@ -10,12 +10,13 @@ are verified by their exact similarity.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -45,20 +46,54 @@ def _least(n: np.ndarray, share: Fraction) -> np.ndarray:
     return -(-n * share.numerator // share.denominator)
 
 
-def prefix_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, similarity: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one shingle's sets, of different roots, that may be similar by their sizes and the places of the shingle."""
+def prefix_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, side: np.ndarray, similarity: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one shingle's sets, of different roots, that may be similar by their sizes and the places of the shingle.
+
+    side: 0 for all, or 1 and 2 for two blocks, of which only pairs across are wanted.
+    """
     order = np.lexsort((node, n))
-    node, n, pos, root = node[order], n[order], pos[order], root[order]
+    node, n, pos, root, side = node[order], n[order], pos[order], root[order], side[order]
     both = similarity / (1 + similarity)
     for i in range(len(node) - 1):
         end = int(np.searchsorted(n, n[i] * similarity.denominator // similarity.numerator, "right"))
         j = np.arange(i + 1, end)
         ok = (root[j] != root[i]) & (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= _least(n[i] + n[j], both))
+        if side[i]:
+            ok &= side[j] != side[i]
         if ok.any():
             j = j[ok]
             yield np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
 
 
+def blocked(rows: DataFrame, similarity: Fraction, most: int) -> DataFrame:
+    """``rows`` (h, node, n, pos, root) once for each block or pair of blocks of its list that it is in: key and side.
+
+    A list of at most ``most`` rows is one block. A longer one is cut by size, so that similar sets have equal or
+    neighbouring size classes, and each class by a hash into blocks of about ``most`` rows; every block meets itself, the
+    other blocks of its class and those of the next class. No pair of similar sets is lost, and no task gathers a list.
+    """
+    size = F.floor(F.log("n") / math.log(1.001 / float(similarity))).cast("int")
+    classes = rows.withColumn("k", size).groupBy("h", "k").agg(F.count("*").alias("c"))
+    total = Window.partitionBy("h")
+    classes = classes.withColumn("k", F.when(F.sum("c").over(total) > most, F.col("k"))).groupBy("h", "k").agg(F.ceil(F.sum("c") / most).cast("int").alias("m"))
+    by_class = Window.partitionBy("h").orderBy("k")
+    near = lambda f, step: F.when(f("k").over(by_class) == F.col("k") + step, f("m").over(by_class)).otherwise(0)
+    classes = classes.select("h", "k", "m", near(F.lag, -1).alias("below"), near(F.lead, 1).alias("above"))
+    long = classes.where("k is not null").withColumnRenamed("h", "lh")
+    marked = rows.withColumn("k0", size)
+    own = marked.join(long, (marked["h"] == long["lh"]) & (marked["k0"] == long["k"]), "left").drop("lh", "k0")
+    own = own.withColumn("b", F.pmod(F.xxhash64("node"), F.coalesce("m", F.lit(1))).cast("int"))
+    key = lambda k, low, high, i, j, side: F.struct(k.alias("k"), low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), side.alias("side"))
+    span = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda x: x < n)
+    zero, b, k = F.lit(0), F.col("b"), F.col("k")
+    same = F.transform(span(F.col("m")), lambda j: key(k, zero, zero, F.least(b, j), F.greatest(b, j), F.when(j == b, 0).when(b < j, 1).otherwise(2)))
+    up = F.transform(span(F.col("above")), lambda j: key(k, zero, F.lit(1), b, j, F.lit(1)))
+    down = F.transform(span(F.col("below")), lambda j: key(k - 1, zero, F.lit(1), j, b, F.lit(2)))
+    alone = F.array(key(F.lit(-1), zero, zero, zero, zero, zero))
+    places = F.when(k.isNull(), alone).otherwise(F.concat(same, up, down))
+    return own.withColumn("at", F.explode(places)).select("h", "node", "n", "pos", "root", F.struct("at.k", "at.high", "at.i", "at.j").alias("key"), F.col("at.side").alias("side"))
+
+
 def chain_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, seed: int, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of neighbours among one shingle's sets in an order drawn by ``seed``, if sizes and places allow them."""
     order = np.argsort(mix(node.view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)))
@@ -113,12 +148,12 @@ def verified(work: Workspace, rows: DataFrame, pairs: DataFrame, width: int, sim
     return work.table(both.mapInArrow(run, "u long, v long"), "links")
 
 
-def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5), sample: int = 4_000, most_frequent: int = 100_000) -> DataFrame:
+def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5), sample: int = 4_000, most_frequent: int = 100_000, block: int = 2048) -> DataFrame:
     """``docs``, all columns, with one row of each group of near-copies: that of smallest doc_id.
 
     A group is all that is reachable by pairs of rows whose shingle sets have at least the similarity. A row is a node of
     its own, so that rows which share a doc_id count by their texts. Texts without words are alike. Rows without a
-    doc_id stay. Null texts have no words; further columns may have any names; an empty table gives an empty one.
+    doc_id stay. block: rows of a list that meet in one task, about. Null texts have no words; further columns may have any names; an empty table gives an empty one.
     """
     work = Workspace(docs.sparkSession, "near-copies")
     names = docs.columns
@@ -159,7 +194,12 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = F
     close = close.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     equal = nodes.join(lows, "fp").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     first = sets.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", F.posexplode("first").alias("pos", "h"))
-    lists = work.table(first.groupBy("h").agg(F.collect_list(F.struct("node", "n", "pos")).alias("m")).where(F.size("m") > 1), "lists")
+    first = work.table(first, "first")
+    # Lists of one set have no pairs. A list is never gathered: blocks of it are.
+    shared = first.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    posted = work.table(first.join(shared, "h"), "posted")
+    work.drop(first)
+    lists = posted.groupBy("h", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("c") / block)).alias("b")).agg(F.collect_list(F.struct("node", "n", "pos")).alias("m")).where(F.size("m") > 1).select("h", "m")
 
     def paired(each) -> Callable:
         """Runs ``each`` over the lists (h, m) and gives what pairs it yields."""
@@ -188,9 +228,11 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = F
     chains = lists.mapInArrow(paired(lambda h, node, n, pos: [chain_pairs(node, n, pos, h & 3, similarity)]), "u long, v long")
     links = verified(work, rows, work.table(close.union(equal).union(chains).distinct(), "close"), width, similarity)
     roots = connected_components(work, links)
-    placed = lists.select("h", F.explode("m").alias("m")).select("h", "m.*").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = placed.groupBy("h").agg(F.collect_list(F.struct("node", "n", "pos", "root")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h", "m")
-    pairs = apart.mapInArrow(paired(lambda h, *fields: prefix_pairs(*fields, similarity)), "u long, v long").distinct()
+    placed = posted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
+    placed = work.table(placed.join(apart, "h", "left_semi").select("h", "node", "n", "pos", "root"), "apart")
+    met = blocked(placed, similarity, block).groupBy("h", "key").agg(F.collect_list(F.struct("node", "n", "pos", "root", "side")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"))
+    pairs = met.where("x < y").select("h", "m").mapInArrow(paired(lambda h, *fields: prefix_pairs(*fields, similarity)), "u long, v long").distinct()
     more = verified(work, rows, work.table(pairs, "candidates"), width, similarity)
     roots = work.table(connected_components(work, links.union(more)), "roots")
     group = node_of.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from factloom.llm import near_copies
 from test_operators import low, split, text
 
 
@@ -47,3 +48,42 @@ def test_distinct_is_brute_force_jaccard(spark):
     got = corpus_pipeline.distinct(spark, docs.repartition(3, F.hash("text")), "").collect()
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted((r["doc_id"] for r in got), key=lambda d: key((d,))) == sorted((d for d, _ in want), key=lambda d: key((d,)))
+
+
+def test_long_lists_are_met_block_by_block(spark):
+    """Blocks of a few rows lose none of the pairs that one list has, across sizes that differ as far as similar sets may."""
+    rng = np.random.default_rng(2)
+    rows = [(7, i, int(n), int(rng.integers(0, 3)), i) for i, n in enumerate(rng.integers(4, 400, 300))] + [(8, 1000 + i, 50 + i, 0, 1000 + i) for i in range(5)]
+    rows += [(7, 2000, 100, 0, 2000), (7, 2001, 125, 0, 2001), (7, 2002, 80, 0, 2002)]
+    df = spark.createDataFrame(rows, "h long, node long, n long, pos long, root long")
+
+    def pairs(block):
+        out, biggest = set(), 0
+        groups = {}
+        for r in near_copies.blocked(df, near_copies.Fraction(4, 5), block).collect():
+            groups.setdefault((r["h"], r["key"]), []).append((r["node"], r["n"], r["pos"], r["root"], r["side"]))
+        for g in groups.values():
+            biggest = max(biggest, len(g))
+            for u, v in near_copies.prefix_pairs(*(np.array(c) for c in zip(*g)), near_copies.Fraction(4, 5)):
+                found = list(zip(u.tolist(), v.tolist()))
+                assert not out & set(found)  # every pair meets once
+                out |= set(found)
+        return out, biggest
+
+    whole, _ = pairs(10_000)
+    parts, biggest = pairs(16)
+    assert whole == parts and len(whole) > 1000 and biggest < 80
+    assert (2001, 2000) in whole and (2002, 2000) in whole
+
+
+def test_blocks_change_no_result(spark):
+    rng = np.random.default_rng(3)
+    base = [text(rng, 60) for _ in range(30)]
+    rows = []
+    for i in range(400):
+        w = base[i % 30].split()
+        w[int(rng.integers(0, 60))] = f"w{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = [sorted(r["doc_id"] for r in near_copies.distinct_documents(docs, block=b).collect()) for b in (2048, 5)]
+    assert ids[0] == ids[1] and 30 <= len(ids[0]) < 400
