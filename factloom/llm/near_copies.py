@@ -46,22 +46,37 @@ def _least(n: np.ndarray, share: Fraction) -> np.ndarray:
     return -(-n * share.numerator // share.denominator)
 
 
-def prefix_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, side: np.ndarray, similarity: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one shingle's sets, of different roots, that may be similar by their sizes and the places of the shingle.
+#: 64-bit words of a set's parity map.
+WORDS = 8
 
-    side: 0 for all, or 1 and 2 for two blocks, of which only pairs across are wanted.
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * WORDS classes of shingles whether a set has an odd number of it.
+
+    Two sets differ in at least as many shingles as their maps differ in bits, which is an exact bound for a pair's similarity.
+    """
+    odd = np.bincount((mix(s) >> np.uint64(7)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefix_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, side: np.ndarray, *maps: np.ndarray, similarity: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one shingle's sets, of different roots, that may be similar by their sizes, the places of the shingle and their parity maps.
+
+    side: 0 for all, or 1 and 2 for two blocks, of which only pairs across are wanted. maps: the words of the maps.
     """
     order = np.lexsort((node, n))
     node, n, pos, root, side = node[order], n[order], pos[order], root[order], side[order]
-    both = similarity / (1 + similarity)
+    bits = np.stack(maps, axis=1)[order] if maps else np.zeros((len(n), 1), np.int64)
+    both, apart = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
     for i in range(len(node) - 1):
         end = int(np.searchsorted(n, n[i] * similarity.denominator // similarity.numerator, "right"))
         j = np.arange(i + 1, end)
         ok = (root[j] != root[i]) & (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= _least(n[i] + n[j], both))
         if side[i]:
             ok &= side[j] != side[i]
-        if ok.any():
-            j = j[ok]
+        j = j[ok]
+        if len(j):
+            j = j[np.bitwise_count((bits[j] ^ bits[i]).view(np.uint64)).sum(axis=1, dtype=np.int64) * apart.denominator <= (n[i] + n[j]) * apart.numerator]
             yield np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
 
 
@@ -91,12 +106,12 @@ def blocked(rows: DataFrame, similarity: Fraction, most: int) -> DataFrame:
     down = F.transform(span(F.col("below")), lambda j: key(k - 1, zero, F.lit(1), j, b, F.lit(2)))
     alone = F.array(key(F.lit(-1), zero, zero, zero, zero, zero))
     places = F.when(k.isNull(), alone).otherwise(F.concat(same, up, down))
-    return own.withColumn("at", F.explode(places)).select("h", "node", "n", "pos", "root", F.struct("at.k", "at.high", "at.i", "at.j").alias("key"), F.col("at.side").alias("side"))
+    return own.withColumn("at", F.explode(places)).select(*rows.columns, F.struct("at.k", "at.high", "at.i", "at.j").alias("key"), F.col("at.side").alias("side"))
 
 
 def chain_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, seed: int, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of neighbours among one shingle's sets in an order drawn by ``seed``, if sizes and places allow them."""
-    order = np.argsort(mix(node.view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)))
+    order = np.argsort(mix(node.view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
     i, j = order[:-1], order[1:]
     least = _least(n[i] + n[j], similarity / (1 + similarity))
     ok = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= least
@@ -167,10 +182,11 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = sent.value
         for b in batches:
-            fp, n, total, first = [], [], [], []
+            fp, n, total, first, maps = [], [], [], [], []
             for t, s in zip(b.column(1), shingle_sets(b.column(1), width), strict=True):
                 fp.append(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width))
                 n.append(len(s))
+                maps.append(parity(s))
                 total.append(mix(s).sum(dtype=np.uint64))
                 if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -179,10 +195,10 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = F
                 first.append(s[:keep].view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in first]))).astype(np.int32)
             flat = np.concatenate(first) if first else np.zeros(0, np.int64)
-            cols = [b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(n, np.int64)), pa.array(np.array(total, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "fp", "n", "total", "first"])
+            cols = [b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(n, np.int64)), pa.array(np.array(total, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(maps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "fp", "n", "total", "first", "map"])
 
-    sets = work.table(rows.mapInArrow(run, "row long, fp long, n long, total long, first array<long>"), "sets")
+    sets = work.table(rows.mapInArrow(run, "row long, fp long, n long, total long, first array<long>, map array<long>"), "sets")
     # Equal sets are one node, the first row of them.
     same = sets.groupBy("n", "total").agg(F.min("row").alias("node"))
     node_of = work.table(sets.select("row", "n", "total", "fp").join(same, ["n", "total"]).select("row", "node", "fp"), "nodes")
@@ -230,12 +246,15 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = F
     roots = connected_components(work, links)
     placed = posted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
-    placed = work.table(placed.join(apart, "h", "left_semi").select("h", "node", "n", "pos", "root"), "apart")
-    met = blocked(placed, similarity, block).groupBy("h", "key").agg(F.collect_list(F.struct("node", "n", "pos", "root", "side")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"))
-    pairs = met.where("x < y").select("h", "m").mapInArrow(paired(lambda h, *fields: prefix_pairs(*fields, similarity)), "u long, v long").distinct()
+    words_of = [f"w{i}" for i in range(WORDS)]
+    maps = sets.select(F.col("row").alias("node"), *[F.col("map")[i].alias(w) for i, w in enumerate(words_of)])
+    placed = work.table(placed.join(apart, "h", "left_semi").select("h", "node", "n", "pos", "root").join(maps, "node"), "apart")
+    met = blocked(placed, similarity, block).groupBy("h", "key").agg(F.collect_list(F.struct("node", "n", "pos", "root", "side", *words_of)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"))
+    pairs = met.where("x < y").select("h", "m").mapInArrow(paired(lambda h, *fields: prefix_pairs(*fields, similarity=similarity)), "u long, v long").distinct()
     more = verified(work, rows, work.table(pairs, "candidates"), width, similarity)
     roots = work.table(connected_components(work, links.union(more)), "roots")
     group = node_of.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
     kept = whole.select("row", own_id.alias("doc_id")).join(group, "row").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("m")).select(F.col("m.row").alias("row"))
     kept = work.table(kept, "kept")
+    work.clear(whole, kept)
     return whole.join(kept, "row", "left_semi").select(*base.columns).unionByName(base.where(own_id.isNull())).toDF(*names)

@@ -51,6 +51,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/factloom/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.made: list[DataFrame] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` as Parquet and returns the reader of what was written."""
@@ -71,8 +72,17 @@ class Workspace:
         _give_back()
         back = self.spark.read.schema(df.schema).parquet(path)
         back._factloom_path = path
+        self.made.append(back)
         return back
 
+    def clear(self, *kept: DataFrame) -> None:
+        """Deletes all tables of this workspace but those that a plan handed out still reads."""
+        paths = {getattr(df, "_factloom_path", None) for df in kept}
+        for df in self.made:
+            if df._factloom_path not in paths:
+                self.drop(df)
+        self.made = [df for df in self.made if df._factloom_path in paths]
+
     def drop(self, df: DataFrame | None) -> None:
         """Deletes a table of :meth:`table` that no later plan reads."""
         path = getattr(df, "_factloom_path", None)

@@ -64,7 +64,7 @@ def test_long_lists_are_met_block_by_block(spark):
             groups.setdefault((r["h"], r["key"]), []).append((r["node"], r["n"], r["pos"], r["root"], r["side"]))
         for g in groups.values():
             biggest = max(biggest, len(g))
-            for u, v in near_copies.prefix_pairs(*(np.array(c) for c in zip(*g)), near_copies.Fraction(4, 5)):
+            for u, v in near_copies.prefix_pairs(*(np.array(c) for c in zip(*g)), similarity=near_copies.Fraction(4, 5)):
                 found = list(zip(u.tolist(), v.tolist()))
                 assert not out & set(found)  # every pair meets once
                 out |= set(found)
@@ -87,3 +87,13 @@ def test_blocks_change_no_result(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     ids = [sorted(r["doc_id"] for r in near_copies.distinct_documents(docs, block=b).collect()) for b in (2048, 5)]
     assert ids[0] == ids[1] and 30 <= len(ids[0]) < 400
+
+
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        both = rng.integers(0, 1 << 62, int(rng.integers(0, 900))).astype(np.uint64)
+        a = np.unique(np.concatenate((both, rng.integers(0, 1 << 62, int(rng.integers(0, 60))).astype(np.uint64))))
+        b = np.unique(np.concatenate((both, rng.integers(0, 1 << 62, int(rng.integers(0, 60))).astype(np.uint64))))
+        bits = int(np.bitwise_count((near_copies.parity(a) ^ near_copies.parity(b)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b))
