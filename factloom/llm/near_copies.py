@@ -46,16 +46,16 @@ def _least(n: np.ndarray, share: Fraction) -> np.ndarray:
     return -(-n * share.numerator // share.denominator)
 
 
-#: 64-bit words of a set's parity map.
-WORDS = 8
+#: 64-bit words of a set's parity map in a list, and of the one that candidates are looked up in, which tells longer sets apart.
+WORDS, WIDE = 8, 64
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """For each of 64 * WORDS classes of shingles whether a set has an odd number of it.
+def parity(s: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """For each of 64 * ``words`` classes of shingles whether a set has an odd number of it.
 
     Two sets differ in at least as many shingles as their maps differ in bits, which is an exact bound for a pair's similarity.
     """
-    odd = np.bincount((mix(s) >> np.uint64(7)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    odd = np.bincount((mix(s) >> np.uint64(7)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -136,8 +136,13 @@ def _frequent(rows: DataFrame, width: int, sample: int, most: int) -> tuple[np.n
     return h[order], top.column(1).to_numpy()[order]
 
 
-def verified(work: Workspace, rows: DataFrame, pairs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
-    """The pairs (u, v) of rows whose shingle sets are as similar as asked."""
+def verified(work: Workspace, rows: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """The pairs (u, v) of rows whose shingle sets are as similar as asked; texts travel for those whose wide maps allow it."""
+    apart = (1 - similarity) / (1 + similarity)
+    side = lambda end, x: sets.select(F.col("row").alias(end), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+    differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    near = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").where(differ * apart.denominator <= (F.col("na") + F.col("nb")) * apart.numerator)
+    pairs = work.table(near.select("u", "v"), "near")
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
     texts = in_sketch(rows.select(F.col("row").alias("doc_id"), "text"), sketch(ids))
     own = work.table(texts.join(ids, "doc_id", "left_semi"), "texts")
@@ -182,11 +187,12 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = sent.value
         for b in batches:
-            fp, n, total, first, maps = [], [], [], [], []
+            fp, n, total, first, maps, wide = [], [], [], [], [], []
             for t, s in zip(b.column(1), shingle_sets(b.column(1), width), strict=True):
                 fp.append(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width))
                 n.append(len(s))
                 maps.append(parity(s))
+                wide.append(parity(s, WIDE))
                 total.append(mix(s).sum(dtype=np.uint64))
                 if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -195,10 +201,10 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = F
                 first.append(s[:keep].view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in first]))).astype(np.int32)
             flat = np.concatenate(first) if first else np.zeros(0, np.int64)
-            cols = [b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(n, np.int64)), pa.array(np.array(total, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(maps, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "fp", "n", "total", "first", "map"])
+            cols = [b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(n, np.int64)), pa.array(np.array(total, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(maps, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "fp", "n", "total", "first", "map", "wide"])
 
-    sets = work.table(rows.mapInArrow(run, "row long, fp long, n long, total long, first array<long>, map array<long>"), "sets")
+    sets = work.table(rows.mapInArrow(run, "row long, fp long, n long, total long, first array<long>, map array<long>, wide array<long>"), "sets")
     # Equal sets are one node, the first row of them.
     same = sets.groupBy("n", "total").agg(F.min("row").alias("node"))
     node_of = work.table(sets.select("row", "n", "total", "fp").join(same, ["n", "total"]).select("row", "node", "fp"), "nodes")
@@ -210,11 +216,11 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = F
     close = close.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     equal = nodes.join(lows, "fp").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     first = sets.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", F.posexplode("first").alias("pos", "h"))
-    first = work.table(first, "first")
-    # Lists of one set have no pairs. A list is never gathered: blocks of it are.
-    shared = first.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    posted = work.table(first.join(shared, "h"), "posted")
-    work.drop(first)
+    # Lists of one set have no pairs: a sketch of the shared shingles keeps most of them from the shuffle. A list is never
+    # gathered: blocks of it are.
+    shared = work.table(first.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    posted = in_sketch(first.select(F.col("h").alias("doc_id"), "node", "n", "pos"), sketch(shared.select(F.col("h").alias("doc_id")))).withColumnRenamed("doc_id", "h")
+    posted = work.table(posted.join(shared, "h"), "posted")
     lists = posted.groupBy("h", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("c") / block)).alias("b")).agg(F.collect_list(F.struct("node", "n", "pos")).alias("m")).where(F.size("m") > 1).select("h", "m")
 
     def paired(each) -> Callable:
@@ -242,7 +248,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = F
 
     # Few orders, so that the lists of one group give mostly the same pairs.
     chains = lists.mapInArrow(paired(lambda h, node, n, pos: [chain_pairs(node, n, pos, h & 3, similarity)]), "u long, v long")
-    links = verified(work, rows, work.table(close.union(equal).union(chains).distinct(), "close"), width, similarity)
+    links = verified(work, rows, sets, work.table(close.union(equal).union(chains).distinct(), "close"), width, similarity)
     roots = connected_components(work, links)
     placed = posted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
@@ -251,7 +257,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: Fraction = F
     placed = work.table(placed.join(apart, "h", "left_semi").select("h", "node", "n", "pos", "root").join(maps, "node"), "apart")
     met = blocked(placed, similarity, block).groupBy("h", "key").agg(F.collect_list(F.struct("node", "n", "pos", "root", "side", *words_of)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"))
     pairs = met.where("x < y").select("h", "m").mapInArrow(paired(lambda h, *fields: prefix_pairs(*fields, similarity=similarity)), "u long, v long").distinct()
-    more = verified(work, rows, work.table(pairs, "candidates"), width, similarity)
+    more = verified(work, rows, sets, work.table(pairs, "candidates"), width, similarity)
     roots = work.table(connected_components(work, links.union(more)), "roots")
     group = node_of.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
     kept = whole.select("row", own_id.alias("doc_id")).join(group, "row").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("m")).select(F.col("m.row").alias("row"))
