@@ -115,7 +115,9 @@ got AS (SELECT a.*, CASE WHEN kind = 2 OR source_sequence <= lim THEN NULL WHEN
     codes = "CASE event_id % 20 WHEN 0 THEN 'NUMBER_RANGE' WHEN 1 THEN 'ENVELOPE_UNKNOWN_FIELD' WHEN 2 THEN 'MALFORMED' WHEN 3 THEN 'NOT_UTF8' WHEN 4 THEN 'STRUCTURE' ELSE CASE WHEN compatibility_policy_version <> 1 THEN 'PAYLOAD_RANGE' END END"
     violations = [("positive_sequence", "del", "source_sequence <= 0"), ("nonblank_id", "log", "trim(source_event_id) = ''"), ("hex_hash", "log", "NOT regexp_full_match(relevant_context_hash, '[0-9a-f]{64}')"), ("status_result", "log", "event_type = 'test_attempt' AND NOT CASE WHEN execution_status = 'completed' THEN coalesce(result IN ('detected', 'not_detected'), false) ELSE coalesce(result = 'inconclusive', true) END"), ("policy_version", "log", "compatibility_policy_version <> 1"), ("outcome_basis", "seen", "outcome = 'REJECTED'")]
     classes = "(VALUES (1, 'NEW'), (2, 'STILL_OPEN'), (3, 'VERIFIED_RESOLVED'), (4, 'REGRESSED'), (5, 'NOT_RETESTED'), (6, 'INCONCLUSIVE')) c(place, classification)"
-    return {
+    from . import proofs
+
+    found = {
         "boundary_facts": log + "SELECT tenant_id, source_stream_id, source_sequence, source_event_id, fact_kind, resource_uid, verification_key, check_version, execution_status, result FROM facts",
         "boundary_guard": _with(LOG, asked) + "SELECT tenant_id, source_stream_id, last_data_sequence, CASE WHEN lim IS NULL THEN 'UNKNOWN_STREAM' WHEN source_stream_id = 'stream-2-1' THEN 'NOT_FINALIZED' WHEN lim <> last_data_sequence THEN 'WRONG_POSITION' END AS boundary_error FROM ask LEFT JOIN pos USING (tenant_id, source_stream_id)",
         "finalized_engagements": _with(LOG, done) + "SELECT d.tenant_id, d.engagement_id, d.source_stream_id, count(*) AS n_events, max(source_sequence) AS max_sequence, CASE WHEN count(DISTINCT source_sequence) FILTER (source_sequence <= named) = any_value(named) THEN any_value(named) ELSE 0 END AS last_data_sequence FROM data d LEFT JOIN mk USING (tenant_id, engagement_id, source_stream_id) GROUP BY ALL",
@@ -170,3 +172,5 @@ got AS (SELECT a.*, CASE WHEN kind = 2 OR source_sequence <= lim THEN NULL WHEN
         "action_errors": _with(LOG, cand, cur) + "SELECT tenant_id, source_event_id, 'UNKNOWN_ACTION' AS error FROM own WHERE listed AND event_id % 50 = 3 UNION ALL SELECT tenant_id, NULL, 'NO_ACTIONS' FROM cand c WHERE NOT EXISTS (SELECT 1 FROM own o WHERE listed AND o.tenant_id = c.tenant_id AND o.candidate_id = c.candidate_id)",
         "empty_tables": log + "SELECT * FROM (VALUES ('source_events', false), ('assets', false), ('findings', false), ('test_attempts', false), ('nothing', true)) t(name, is_empty)",
     }
+    unrepresented = found["detected_unrepresented"].removeprefix(log)
+    return found | proofs.sql(observed, asked, row_json, unrepresented)

@@ -428,5 +428,7 @@ def memory_report_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import proofs
+
     found = [boundary_facts, boundary_guard, guarded_facts, finalized_engagements, stream_gaps, inbox_decisions, inbox_exact, completion_decisions, late_data, decode_rejects, stream_binding, replay_noop, assets, new_assets, label_pairs, observations, ambiguity_delta, identity_stability, findings_baseline, baseline_conflicts, finding_decisions, test_attempts, coverage_pairs, resolving_evidence, posture_fold, classification_counts, exposure_counts, stateless_summary, human_report, stateless_report, memory_report, transcripts, memory_report_findings, semantic_fact_digest, boundary_digest, context_fingerprints, memory_features, plan_memory_off, plan_memory_on, plan_errors, candidate_actions, supporting_events, action_errors, regression_metric, arm_comparison, controlled_input_digest, detected_without_occurrence, detected_unrepresented, constraint_violations, fixture_validation, table_snapshot_hash, empty_tables, shuffle_convergence]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | proofs.all_queries()
