@@ -15,12 +15,14 @@ REFUSAL = ["tenant_id", "code", "detail"]
 def required(df: DataFrame, refusals: DataFrame) -> DataFrame:
     """``df``, from a job that fails with code and detail of a refusal if there is any.
 
-    Refusals join as rows that no filter lets pass: each one raises where it is found, in whichever task, and none is
-    gathered. Without refusals the rows are those of ``df``.
+    Refusals are counted, and each count raises where it is found, in whichever task; none is gathered. The message needs
+    the count, so the optimizer cannot raise below the joins and filters that make a row a refusal. Without refusals
+    the rows are those of ``df``.
     """
-    stop = F.raise_error(F.concat_ws(" ", *[F.col(c) for c in REFUSAL]))
+    counted = refusals.groupBy(*REFUSAL).agg(F.count("*").alias("times"))
+    stop = F.raise_error(F.concat_ws(" ", *[F.col(c) for c in REFUSAL], F.concat(F.lit("x"), F.col("times").cast("string"))))
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
-    return df.unionByName(refusals.where(stop.isNull()).select(*nothing))
+    return df.unionByName(counted.where(stop.isNull()).select(*nothing))
 
 
 def _refused(df: DataFrame, code: str | Column, detail: Column) -> DataFrame:
